@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadweave.llm.decontam import contamination
 from quadweave.llm.exact import exact_groups
+from quadweave.llm.mixing import mixture
 from quadweave.llm.near import near_groups
 from quadweave.llm.shared import table
 
@@ -18,6 +20,16 @@ def op2_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="max").withColumnRenamed("id", "doc_id")
 
 
+def op5_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents")).taken().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2_SQL = f"""
@@ -42,5 +54,21 @@ SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, m.component_id, d.doc_id = m.co
 FROM documents d LEFT JOIN z ON z.doc_id = d.doc_id JOIN m ON m.a = d.doc_id
 """
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_exact": op2_exact}
-ORACLES = {"op1_minhash": OP1_SQL, "op2_exact": OP2_SQL}
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+p AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, w[i:i + least(len(w), 10) - 1] AS g
+  FROM b, unnest(range(1, greatest(len(w) - 8, 2))) AS r(i) WHERE len(w) > 0),
+k AS (SELECT DISTINCT k FROM p),
+x AS (SELECT doc_id, i, k, w[i:i + k - 1] AS g FROM d, k, unnest(range(1, len(w) - k + 2)) AS r(i)),
+m AS (SELECT doc_id, item_id, i, x.k FROM x JOIN p ON x.k = p.k AND x.g = p.g),
+h AS (SELECT doc_id, count(DISTINCT j) AS n FROM m, unnest(range(i, i + k)) AS r(j) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(t.l, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_exact": op2_exact, "op5_positional": op5_positional, "op6_mixing": op6_mixing}
+ORACLES = {"op1_minhash": OP1_SQL, "op2_exact": OP2_SQL, "op5_positional": OP5_SQL}
