@@ -13,7 +13,7 @@ from quadweave.llm.shared import written
 from quadweave.llm.words import SPACE_WORD, mixed, mix
 
 #: Words of a block; slots of an output shard; times that a source may be repeated at most.
-BLOCK, SHARD, MOST = 256, 4096, 3.0
+BLOCK, SHARD, MOST = 128, 4096, 3.0
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadweave.llm import langid, quality, toxicity
 from quadweave.llm.decontam import contamination
 from quadweave.llm.exact import exact_groups
 from quadweave.llm.mixing import mixture
 from quadweave.llm.near import near_groups
-from quadweave.llm.shared import table
+from quadweave.llm.shared import fold, table
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,29 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents")).taken().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def _classified(found: DataFrame, threshold: float) -> DataFrame:
+    held = (fold("id", 3) == 1).alias("held_out")
+    return found.select(F.col("id").alias("doc_id"), held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fitted = toxicity.fit(docs, labels.filter(fold("doc_id", 3) != 1))
+    return _classified(toxicity.score(docs, fitted), toxicity.THRESHOLD)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fitted = quality.fit(docs, labels.filter(fold("doc_id", 3) != 1))
+    return _classified(quality.score(docs, fitted), quality.THRESHOLD)
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.learn(docs.filter(fold("doc_id", 4) != 2)))
+    return found.select(F.col("id").alias("doc_id"), (fold("id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2_SQL = f"""
@@ -70,5 +94,5 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_exact": op2_exact, "op5_positional": op5_positional, "op6_mixing": op6_mixing}
+QUERIES = {"op1_minhash": op1_minhash, "op2_exact": op2_exact, "op5_positional": op5_positional, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op9_quality": op9_quality, "op10_language": op10_language}
 ORACLES = {"op1_minhash": OP1_SQL, "op2_exact": OP2_SQL, "op5_positional": OP5_SQL}
