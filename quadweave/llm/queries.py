@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadweave.llm import langid, quality, toxicity
+from quadweave.llm import langid, quality, toxicity, warc
 from quadweave.llm.decontam import contamination
 from quadweave.llm.exact import exact_groups
 from quadweave.llm.mixing import mixture
 from quadweave.llm.near import near_groups
-from quadweave.llm.shared import fold, table
+from quadweave.llm.shared import fold, table, written
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,19 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(toxicity.score(docs, fitted), toxicity.THRESHOLD)
 
 
+def damaged(pages: DataFrame) -> DataFrame:
+    """A second replica of pages with planted faults: records with a changed byte, lost records, and records too many."""
+    c = F.pmod(F.col("page_id") * 7919 + 13, F.lit(100003))
+    changed = pages.filter(c % 101 != 0).withColumn("html", F.when(c % 97 == 0, F.concat(F.coalesce("html", F.lit("")), F.lit("~"))).otherwise(F.col("html")))
+    return changed.union(pages.filter(c % 103 == 0).withColumn("page_id", F.col("page_id") + 1_000_000_000_000))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    ours, theirs = (written(warc.leaves(x), "leaves") for x in (pages, damaged(pages)))
+    return warc.audit(ours, theirs).withColumnRenamed("id", "page_id")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     fitted = quality.fit(docs, labels.filter(fold("doc_id", 3) != 1))
@@ -94,5 +107,25 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_exact": op2_exact, "op5_positional": op5_positional, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op9_quality": op9_quality, "op10_language": op10_language}
-ORACLES = {"op1_minhash": OP1_SQL, "op2_exact": OP2_SQL, "op5_positional": OP5_SQL}
+OP8_SQL = r"""
+WITH f AS (SELECT page_id, url, html, ((page_id * 7919 + 13) % 100003 + 100003) % 100003 AS c FROM pages),
+p AS (
+  SELECT 'ours' AS side, page_id, url, html FROM f
+  UNION ALL SELECT 'theirs', page_id, url, CASE WHEN c % 97 = 0 THEN coalesce(html, '') || '~' ELSE html END FROM f WHERE c % 101 <> 0
+  UNION ALL SELECT 'theirs', page_id + 1000000000000, url, html FROM f WHERE c % 103 = 0),
+t AS (
+  SELECT side, page_id, replace('WARC/1.0~WARC-Type: response~WARC-Target-URI: ', '~', chr(13) || chr(10)) || coalesce(url, '')
+    || replace('~WARC-Record-ID: <urn:record:', '~', chr(13) || chr(10)) || page_id || replace('>~Content-Length: ', '~', chr(13) || chr(10))
+    || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS t
+  FROM p),
+d AS (SELECT side, page_id, sha256(t) AS digest, strlen(t)::BIGINT AS length, page_id // 4096 AS shard FROM t),
+o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY shard ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_byte FROM d WHERE side = 'ours'),
+h AS (SELECT * FROM d WHERE side = 'theirs')
+SELECT coalesce(o.page_id, h.page_id) AS page_id, coalesce(o.shard, h.shard)::BIGINT AS shard, o.first_byte, o.length,
+  CASE WHEN h.page_id IS NULL THEN 'missing' WHEN o.page_id IS NULL THEN 'extra' ELSE 'altered' END AS status,
+  o.digest AS our_digest, h.digest AS their_digest
+FROM o FULL JOIN h ON o.page_id = h.page_id WHERE o.digest IS DISTINCT FROM h.digest
+"""
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_exact": op2_exact, "op5_positional": op5_positional, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_language": op10_language}
+ORACLES = {"op1_minhash": OP1_SQL, "op2_exact": OP2_SQL, "op5_positional": OP5_SQL, "op8_warc": OP8_SQL}
