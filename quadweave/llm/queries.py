@@ -11,6 +11,7 @@ from quadweave.llm.exact import exact_groups
 from quadweave.llm.mixing import mixture
 from quadweave.llm.near import near_groups
 from quadweave.llm.shared import fold, table, written
+from quadweave.llm.substring import without_repeats
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,11 @@ def op2_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="max").withColumnRenamed("id", "doc_id")
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = without_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op5_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -91,6 +97,20 @@ SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, m.component_id, d.doc_id = m.co
 FROM documents d LEFT JOIN z ON z.doc_id = d.doc_id JOIN m ON m.a = d.doc_id
 """
 
+OP3_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, hash(w[i:i + 34]) AS h, w[i:i + 34] AS g FROM d, unnest(range(1, len(w) - 33)) AS r(i)),
+m AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+c AS (SELECT doc_id, i, g FROM g SEMI JOIN m ON g.h = m.h),
+x AS (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM c),
+k AS (SELECT DISTINCT doc_id, j FROM x, unnest(range(i, i + 35)) AS r(j) WHERE n > 1),
+a AS (SELECT doc_id, j, w[j] AS t FROM d, unnest(range(1, len(w) + 1)) AS r(j)),
+l AS (SELECT doc_id, string_agg(t, ' ' ORDER BY j) AS t FROM a ANTI JOIN k ON a.doc_id = k.doc_id AND a.j = k.j GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(l.t, '')) AS kept_sha256
+FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
@@ -127,5 +147,5 @@ SELECT coalesce(o.page_id, h.page_id) AS page_id, coalesce(o.shard, h.shard)::BI
 FROM o FULL JOIN h ON o.page_id = h.page_id WHERE o.digest IS DISTINCT FROM h.digest
 """
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_exact": op2_exact, "op5_positional": op5_positional, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_language": op10_language}
-ORACLES = {"op1_minhash": OP1_SQL, "op2_exact": OP2_SQL, "op5_positional": OP5_SQL, "op8_warc": OP8_SQL}
+QUERIES = {"op1_minhash": op1_minhash, "op2_exact": op2_exact, "op3_substring": op3_substring, "op5_positional": op5_positional, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_language": op10_language}
+ORACLES = {"op1_minhash": OP1_SQL, "op2_exact": OP2_SQL, "op3_substring": OP3_SQL, "op5_positional": OP5_SQL, "op8_warc": OP8_SQL}
