@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quadweave.llm import langid, quality, toxicity, warc
 from quadweave.llm.decontam import contamination
 from quadweave.llm.exact import exact_groups
+from quadweave.llm.lm import Katz
 from quadweave.llm.mixing import mixture
 from quadweave.llm.near import near_groups
 from quadweave.llm.shared import fold, table, written
@@ -27,6 +28,13 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = Katz(docs.filter(fold("doc_id", 10) != 0).select("text"))
+    train_tokens = F.lit(int(model.model.total)).cast("long").alias("train_tokens")
+    return model.score(docs).select(F.col("id").alias("doc_id"), (fold("id", 10) == 0).alias("held_out"), "n_tokens", "n_known", train_tokens, F.col("base").alias("base_score"), "score")
+
+
 def op5_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -147,5 +155,5 @@ SELECT coalesce(o.page_id, h.page_id) AS page_id, coalesce(o.shard, h.shard)::BI
 FROM o FULL JOIN h ON o.page_id = h.page_id WHERE o.digest IS DISTINCT FROM h.digest
 """
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_exact": op2_exact, "op3_substring": op3_substring, "op5_positional": op5_positional, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_language": op10_language}
+QUERIES = {"op1_minhash": op1_minhash, "op2_exact": op2_exact, "op3_substring": op3_substring, "op4_katz": op4_katz, "op5_positional": op5_positional, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_language": op10_language}
 ORACLES = {"op1_minhash": OP1_SQL, "op2_exact": OP2_SQL, "op3_substring": OP3_SQL, "op5_positional": OP5_SQL, "op8_warc": OP8_SQL}

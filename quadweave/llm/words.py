@@ -118,12 +118,12 @@ def words(data: np.ndarray, offsets: np.ndarray, letters: Alphabet) -> Words:
     return Words(hashes, first, last, np.searchsorted(first, offsets), data)
 
 
-def chunks(column: pa.Array, letters: Alphabet) -> Iterator[tuple[slice, Words]]:
-    """The words of a text column in runs of about CHUNK_BYTES, texts kept whole, with the rows of each run."""
+def chunks(column: pa.Array, letters: Alphabet, size: int = CHUNK_BYTES) -> Iterator[tuple[slice, Words]]:
+    """The words of a text column in runs of about `size` bytes, texts kept whole, with the rows of each run."""
     data, offsets = utf8(column)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
         yield slice(i, j), words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], letters)
         i = j
 
