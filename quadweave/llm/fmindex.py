@@ -55,13 +55,13 @@ class FMIndex:
     def __init__(self, text: np.ndarray, depth: int) -> None:
         n, symbols = len(text), int(text.max(initial=0)) + 1
         ranks = {1: text.astype(np.int64)}
-        order, k = np.argsort(text, kind="stable"), 1
+        order, k = np.argsort(text), 1
         while k < depth:
             rank = ranks[k]
             then = np.zeros(n, np.int64)
             then[: max(n - k, 0)] = rank[k:] + 1
             key = rank * (n + 2 + symbols) + then
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             new = np.concatenate([[0], (key[order][1:] != key[order][:-1])])
             ranks[2 * k] = np.empty(n, np.int64)
             ranks[2 * k][order] = np.cumsum(new)

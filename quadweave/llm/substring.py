@@ -60,91 +60,129 @@ def _anchors(window: int, anchor: int):
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, numbers, often) -> (rid, bits, often_bits): a set of small numbers as a bitmap"""
+    """(rid, numbers, some) -> (rid, bits, some_bits): sets of small numbers as bitmaps"""
+
+    def bits(column: pa.Array) -> pa.Array:
+        out = []
+        for x in column:
+            at = x.values.to_numpy(zero_copy_only=False)
+            flags = np.zeros(int(at.max()) + 1 if len(at) else 0, bool)
+            flags[at] = True
+            out.append(np.packbits(flags).tobytes())
+        return pa.array(out, pa.binary())
+
     for batch in batches:
-        def bits(column: pa.Array) -> list[bytes]:
-            out = []
-            for x in column:
-                at = x.values.to_numpy(zero_copy_only=False)
-                flags = np.zeros(int(at.max()) + 1 if len(at) else 0, bool)
-                flags[at] = True
-                out.append(np.packbits(flags).tobytes())
-            return out
+        yield pa.RecordBatch.from_arrays([batch.column(0), bits(batch.column(1)), bits(batch.column(2))], names=["rid", "bits", "some_bits"])
+
+
+def _flags(bits: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+
+
+def _cut(window: int, anchor: int):
+    def cut(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, bytes]]:
+        """Rows (id, rid, text, bits, often) -> (row, number, first word, route, words) of the chosen pieces of each text; a
+        piece of a frequent anchor is cut into its windows, each routed by its words."""
+        for part, found in chunks(batch.column(2), SPACED):
+            doc, first, last, key = pieces(found, window, anchor)
+            start = np.searchsorted(doc, np.arange(part.stop - part.start + 1))
+            data = found.data
+            for d in np.flatnonzero(np.diff(start)).tolist():
+                a, b, i, number = int(start[d]), int(start[d + 1]), part.start + d, 0
+                chosen, often = (_flags(batch.column(c)[i].as_py(), b - a) for c in (3, 4))
+                at, to = int(found.at[d]), int(found.at[d + 1])
+                tokens = data[found.first[at] : found.last[to - 1]].tobytes().split()
+                for p in np.flatnonzero(chosen).tolist():
+                    x, y = int(first[a + p]) - at, int(last[a + p]) - at
+                    for lo, hi in ((z, z) for z in range(x, y + 1)) if often[p] else ((x, y),):
+                        words = b" ".join(tokens[lo : hi + window])
+                        route = int.from_bytes(hashlib.md5(words).digest()[:8], "little") if often[p] else int(key[a + p])
+                        yield i, number, lo, route, words
+                        number += 1
+
+    return cut
+
+
+def _where(window: int, anchor: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chosen pieces without their words: (id, rid, number, first, route, digest)"""
+        for batch in batches:
+            row, number, first, route, digest = [], [], [], [], []
+            for i, k, lo, r, words in _cut(window, anchor)(batch):
+                row.append(i)
+                number.append(k)
+                first.append(lo)
+                route.append(r)
+                digest.append(hashlib.md5(words).digest())
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number, pa.int32()), pa.array(first, pa.int32()), pa.array(np.array(route, np.uint64).view(np.int64)), pa.array(digest, pa.binary())], names=["id", "rid", "number", "first", "route", "digest"])
 
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits(batch.column(1)), pa.binary()), pa.array(bits(batch.column(2)), pa.binary())], names=["rid", "bits", "often_bits"])
+    return run
 
 
-def _cut(window: int, anchor: int, with_text: bool):
+def _words_of(window: int, anchor: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, rid, text, bits, often_bits) -> the chosen pieces: (route, piece) or (id, rid, first, digest)"""
+        """Rows (id, rid, text, bits, often, wanted, twice) -> the words of the wanted pieces: (shard, copies, piece)"""
         for batch in batches:
-            for part, found in chunks(batch.column(2), SPACED):
-                doc, first, last, key = pieces(found, window, anchor)
-                start = np.searchsorted(doc, np.arange(part.stop - part.start + 1))
-                route, texts, rows, firsts = [], [], [], []
-                for d in range(part.stop - part.start):
-                    a, b, i = start[d], start[d + 1], part.start + d
-                    if a == b:
-                        continue
-                    chosen, often = (np.unpackbits(np.frombuffer(batch.column(c)[i].as_py(), np.uint8), count=b - a).astype(bool) for c in (3, 4))
-                    tokens = batch.column(2)[i].as_py().encode().split()
-                    for p in np.flatnonzero(chosen):
-                        x, y = int(first[a + p] - found.at[d]), int(last[a + p] - found.at[d])
-                        for lo, hi in ((x, y),) if not often[p] else ((z, z) for z in range(x, y + 1)):
-                            texts.append(b" ".join(tokens[lo : hi + window]))
-                            route.append(int(key[a + p]) if not often[p] else int.from_bytes(hashlib.md5(texts[-1]).digest()[:8], "little"))
-                            rows.append(i)
-                            firsts.append(lo)
-                take = pa.array(rows, pa.int64())
-                if with_text:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(route, np.uint64).view(np.int64)), pa.array([t.decode() for t in texts], pa.string())], names=["route", "piece"])
-                else:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(firsts, pa.int32()), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary())], names=["id", "rid", "first", "digest"])
+            shard, copies, text = [], [], []
+            flags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for i, k, _, r, words in _cut(window, anchor)(batch):
+                if i not in flags:
+                    flags = {i: tuple(np.unpackbits(np.frombuffer(batch.column(c)[i].as_py(), np.uint8)) for c in (5, 6))}
+                wanted, twice = flags[i]
+                if k < len(wanted) and wanted[k]:
+                    shard.append(r % shards)
+                    copies.append(2 if k < len(twice) and twice[k] else 1)
+                    text.append(words)
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(copies, pa.int32()), pa.array(text, pa.binary()).cast(pa.string())], names=["shard", "copies", "piece"])
 
     return run
 
 
 def _search(window: int):
     def run(shard: pa.Table) -> pa.Table:
-        """Pieces of one shard -> (digest, windows): the windows of a piece, by their first word, that occur elsewhere."""
+        """Pieces of one shard -> (digest, windows): which windows of a piece occur elsewhere, as bounds of their runs."""
         shard = shard.combine_chunks()
-        texts, copies = shard.column("piece").combine_chunks(), shard.column("n").to_numpy()
+        texts, copies = shard.column("piece").combine_chunks(), shard.column("copies").to_numpy()
         parts = [found for _, found in chunks(texts, SPACED)]
         lengths = np.concatenate([f.counts for f in parts]).astype(np.int64)
         symbols = np.unique(np.concatenate([f.hashes for f in parts]), return_inverse=True)[1].astype(np.int64) + 1
         found = repeated_windows(symbols, lengths, copies, window)
-        hit = [i for i, f in enumerate(found) if f.any()]
-        return pa.table({"digest": pa.array([hashlib.md5(texts[i].as_py().encode()).digest() for i in hit], pa.binary()), "windows": pa.array([np.flatnonzero(found[i]).astype(np.int32) for i in hit], pa.list_(pa.int32()))})
+        out = {}
+        for i, f in enumerate(found):
+            if f.any():
+                out[hashlib.md5(texts[i].as_buffer()).digest()] = np.flatnonzero(np.diff(np.concatenate([[0], f, [0]]))).astype(np.int32)
+        return pa.table({"digest": pa.array(list(out), pa.binary()), "windows": pa.array(list(out.values()), pa.list_(pa.int32()))})
 
     return run
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, shard_words: int = SHARD_WORDS, often: int = OFTEN, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): the rows as (id, rid, text), and per row with any the windows of `window` words, by first word, whose
-    words also occur elsewhere, in the same text or another: (id, rid, windows).
+    """(rows, spans): the rows as (id, rid, text), and per row with any the windows of `window` words whose words also
+    occur elsewhere, in the same text or another: (id, rid, windows), bounds of runs of first words.
 
     rid is a hash of id and text; rows that repeat both are equal texts and get equal results. Null texts have no words.
 
     Windows are routed by anchors, so that windows that may be equal meet in one shard and each is looked at once. Pieces
-    whose anchor occurs once in the corpus cannot repeat and are left out; equal pieces are combined before they are
-    shuffled, and enter an index twice at most. An anchor with more than `often` places routes every window by its own
-    words instead, so that a passage of a third of all documents is spread over the shards."""
+    whose anchor occurs once in the corpus cannot repeat and are left out. Of equal pieces only one is sent to its shard,
+    with a note that there are more. An anchor with more than `often` places routes every window by its own words
+    instead, so that a passage of a third of all documents is spread over the shards."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).alias("text"))
     places = written(base.select("rid", "text").mapInArrow(_anchors(window, anchor), "anchor long, rid long, n int"), "anchors")
-    shared = written(places.groupBy("anchor").agg(F.count("*").alias("count")).filter("count > 1"), "shared_anchors")
-    lists = places.join(shared, "anchor").groupBy("rid").agg(F.collect_set("n").alias("numbers"), F.collect_set(F.when(F.col("count") > often, F.col("n"))).alias("often"))
-    chosen = written(lists.select("rid", "numbers", "often").mapInArrow(_bitmaps, "rid long, bits binary, often_bits binary"), "chosen")
-    some = checked(chosen, 128, limit)
-    rows = base.join(some, "rid").select("id", "rid", "text", "bits", "often_bits")
-    cut = rows.mapInArrow(_cut(window, anchor, True), "route long, piece string").groupBy("route", "piece").agg(F.count("*").alias("n"))
-    distinct = written(cut, "pieces")
-    total = distinct.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
-    shards = int(total // (6 * shard_words)) + 1
-    found = distinct.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).groupBy("shard").applyInArrow(_search(window), "digest binary, windows array<int>")
-    found = written(found.groupBy("digest").agg(F.first("windows").alias("windows")), "repeated")
-    where = rows.mapInArrow(_cut(window, anchor, False), "id long, rid long, first int, digest binary").join(found, "digest")
+    shared = places.groupBy("anchor").agg(F.count("*").alias("count")).filter("count > 1").select("anchor", (F.col("count") > often).alias("hot"))
+    lists = places.join(shared, "anchor").groupBy("rid").agg(F.collect_set("n").alias("numbers"), F.collect_set(F.when(F.col("hot"), F.col("n"))).alias("often"))
+    chosen = written(lists.select("rid", "numbers", "often").mapInArrow(_bitmaps, "rid long, bits binary, some_bits binary"), "chosen")
+    rows = base.join(checked(chosen, 128, limit), "rid").select("id", "rid", "text", "bits", F.col("some_bits").alias("often"))
+    where = written(rows.mapInArrow(_where(window, anchor), "id long, rid long, number int, first int, route long, digest binary"), "where")
+    one = where.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "number")).alias("at"))
+    sent = one.groupBy("at.rid").agg(F.collect_set("at.number").alias("numbers"), F.collect_set(F.when(F.col("copies") > 1, F.col("at.number"))).alias("twice"))
+    wanted = written(sent.mapInArrow(_bitmaps, "rid long, bits binary, some_bits binary").select("rid", F.col("bits").alias("wanted"), F.col("some_bits").alias("twice")), "wanted")
+    shards = int(where.count() * (window + 12) // shard_words) + 1
+    rep_rows = rows.join(checked(wanted, 128, limit), "rid").select("id", "rid", "text", "bits", "often", "wanted", "twice")
+    sent_pieces = rep_rows.mapInArrow(_words_of(window, anchor, shards), "shard long, copies int, piece string")
+    found = sent_pieces.groupBy("shard").applyInArrow(_search(window), "digest binary, windows array<int>")
     shifted = F.transform("windows", lambda x: x + F.col("first"))
-    spans = where.groupBy("id", "rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(shifted)))).alias("windows"))
+    spans = where.select("id", "rid", "first", "digest").join(found, "digest").groupBy("id", "rid").agg(F.flatten(F.collect_list(shifted)).alias("windows"))
     return base, written(spans, "spans")
 
 
@@ -163,9 +201,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 tokens = (text.as_py() or "").encode().split()
                 edge = np.zeros(len(tokens) + 1, np.int64)
                 if windows.is_valid:
-                    at = windows.values.to_numpy(zero_copy_only=False)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
+                    bounds = windows.values.to_numpy(zero_copy_only=False)
+                    np.add.at(edge, bounds[::2], 1)
+                    np.add.at(edge, bounds[1::2] + window - 1, -1)
                 out = np.cumsum(edge)[:-1] > 0
                 turns = np.flatnonzero(np.diff(np.concatenate([[0], out, [0]])))
                 ranges.append([{"a": int(a), "b": int(b)} for a, b in turns.reshape(-1, 2)])
