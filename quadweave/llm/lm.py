@@ -230,13 +230,13 @@ def _score_runs(model, parts: int):
 
 def _look_up(model):
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
-        """Blocks of one partition against its table -> what they add to each text: n_known, base, score."""
+        """Blocks of one partition against its table -> what they add to the texts of each run: n_known, base, score."""
         m = model.value
         tables = [unpack(b.as_py()) for b in known.column("block")] if "block" in known.column_names and known.num_rows else []
         keys, n = (np.concatenate([t[i] for t in tables]) for i in (0, 1)) if tables else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         order = np.argsort(keys)
         keys, n = keys[order], n[order]
-        out: list[list[np.ndarray]] = [[], [], [], []]
+        out: dict[int, list[np.ndarray]] = {}
         for uid, kind, block in zip(*(asked.column(c) for c in ("uid", "kind", "block")), strict=True):
             k, often, of = unpack(block.as_py())
             at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
@@ -249,15 +249,22 @@ def _look_up(model):
             else:
                 gain, known_, base = m.word(c) - np.log10(m.p1[RARE]), c > 0, m.base(c)
             docs, where = np.unique(of, return_inverse=True)
-            out[0].append(uid.as_py() + docs)
-            for i, x in enumerate((known_, base, gain), 1):
-                out[i].append(np.bincount(where, np.repeat(x, often), len(docs)))
-        columns = [np.concatenate(x) if x else np.zeros(0) for x in out]
-        return pa.table({"uid": pa.array(columns[0].astype(np.int64)), "known": pa.array(columns[1].astype(np.int64)), "base": columns[2], "gain": columns[3]})
+            sums = [np.bincount(where, np.repeat(x, often), len(docs)) for x in (known_, base, gain)]
+            out.setdefault(uid.as_py(), []).append(np.stack([docs.astype(float), *sums]))
+        rows = [np.concatenate(x, axis=1).tobytes() for x in out.values()]
+        return pa.table({"uid": pa.array(list(out), pa.int64()), "sums": pa.array(rows, pa.binary())})
 
     return run
 
 
+def _sum_runs(table: pa.Table) -> pa.Table:
+    """All partitions' sums for one run of texts -> (uid, known, base, gain) per text."""
+    docs, *sums = np.concatenate([np.frombuffer(b.as_buffer()).reshape(4, -1) for b in table.column("sums")], axis=1)
+    some, where = np.unique(docs.astype(np.int64), return_inverse=True)
+    known, base, gain = (np.bincount(where, x, len(some)) for x in sums)
+    return pa.table({"uid": table.column("uid")[0].as_py() + some, "known": known.astype(np.int64), "base": base, "gain": gain})
+
+
 def _word_blocks(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,9 +337,9 @@ class Katz:
         found = None
         for kind, known in tables.items():
             asked = rows.filter(F.col("kind") == kind).select("part", "uid", "kind", "block")
-            got = asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_look_up(sent), "uid long, known long, base double, gain double")
+            got = asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_look_up(sent), "uid long, sums binary")
             found = got if found is None else found.union(got)
-        sums = found.groupBy("uid").agg(F.sum("known").alias("known"), F.sum("base").alias("more"), F.sum("gain").alias("gain"))
+        sums = found.groupBy("uid").applyInArrow(_sum_runs, "uid long, known long, base double, gain double").withColumnRenamed("base", "more")
         own = rows.filter("kind = 0").select("uid", "id", "n_tokens", "n_known", F.col("base").alias("own"), "score")
         zero = F.lit(0.0)
         return own.join(sums, "uid", "left").select("id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("own") + F.coalesce("more", zero)).alias("base"), (F.col("score") + F.coalesce("gain", zero)).alias("score"))
