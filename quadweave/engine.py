@@ -19,7 +19,7 @@ DECODE = {
     "int": lambda v: v.v.try_cast("bigint"),
     "double": lambda v: v.n,
     "dec": lambda v: v.n.cast("decimal(18,2)"),
-    "ts": lambda v: v.t,
+    "ts": lambda v: v.t.cast("timestamp_ntz"),
     "bool": lambda v: v.v.isin("true", "1"),
     "term": n_triples,
 }

@@ -230,7 +230,7 @@ class Translator:
             return self.unit()
         if len(parts) == 1:
             return parts[0]
-        size = [p.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() for p in parts]
+        size = [int(str(p.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for p in parts]
         left = sorted(range(len(parts)), key=lambda i: size[i])
         out = parts[left.pop(0)]
         while left:

@@ -203,7 +203,8 @@ class RelationalDataset(Dataset):
             out = make(F.lit("literal"), c)
             out.static = "v"
             return out
-        if isinstance(kind, T.TimestampType):
+        if isinstance(kind, T.TimestampType | T.TimestampNTZType):
+            c = c.cast("timestamp")
             out = make(F.lit("literal"), F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), XSD + "dateTime", None, None, c)
             out.static = "t"
             return out
@@ -219,7 +220,7 @@ class RelationalDataset(Dataset):
         return out
 
     def predicates(self, t: Table, df: DataFrame) -> dict[str, Val]:
-        out = {f"urn:c:{t.name}/{f.name}": self.value(t, f.name, f.dataType) for f in df.schema.fields if isinstance(f.dataType, T.StringType | T.TimestampType | T.NumericType)}
+        out = {f"urn:c:{t.name}/{f.name}": self.value(t, f.name, f.dataType) for f in df.schema.fields if isinstance(f.dataType, T.StringType | T.TimestampType | T.TimestampNTZType | T.NumericType)}
         own = {f"urn:r:{c}": self.reference(c, to) for c, to in t.references}
         kind = constant(Iri(f"urn:t:{t.name}"))
         return out | own | {TYPE: kind}
@@ -287,7 +288,8 @@ class RelationalDataset(Dataset):
                     df = df.filter(same(a, v))
                 else:
                     keep[slot.name] = v
-                    df = df.filter((v.r if v.template and len(t.key) == 1 or v.template and v.r is not None and slot is not subject else v.v).isNotNull())
+                    static = getattr(v, "static", None)
+                    df = df.filter((v.r if v.template else v.n if static == "n" else v.t if static == "t" else v.v).isNotNull())
                 return True
             if v.template:
                 if not isinstance(slot, Iri) or not slot.value.startswith(v.template):
