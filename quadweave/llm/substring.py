@@ -76,7 +76,10 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _flags(bits: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+    out = np.zeros(n, bool)
+    flags = np.unpackbits(np.frombuffer(bits, np.uint8))[:n]
+    out[: len(flags)] = flags
+    return out
 
 
 def _cut(window: int, anchor: int):
