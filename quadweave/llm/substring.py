@@ -48,13 +48,17 @@ def pieces(found: Words, window: int, anchor: int) -> tuple[np.ndarray, ...]:
 
 def _anchors(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(rid, text) -> (anchor, rid, n) for the n-th piece of each text"""
+        """(rid, text) -> (anchor, rid, n): the numbers of a text's pieces with that anchor"""
         for batch in batches:
             for part, found in chunks(batch.column(1), SPACED):
                 doc, _, _, key = pieces(found, window, anchor)
                 number = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                order = np.lexsort((key, doc))
+                doc, key, number = doc[order], key[order], number[order]
+                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])) if len(doc) else doc
                 rid = batch.column(0).slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), rid.take(pa.array(doc)), pa.array(number, pa.int32())], names=["anchor", "rid", "n"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(doc)), pa.int32()), pa.array(number, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), rid.take(pa.array(doc[new])), lists], names=["anchor", "rid", "n"])
 
     return run
 
@@ -171,9 +175,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with a note that there are more. An anchor with more than `often` places routes every window by its own words
     instead, so that a passage of a third of all documents is spread over the shards."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).alias("text"))
-    places = written(base.select("rid", "text").mapInArrow(_anchors(window, anchor), "anchor long, rid long, n int"), "anchors")
-    shared = places.groupBy("anchor").agg(F.count("*").alias("count")).filter("count > 1").select("anchor", (F.col("count") > often).alias("hot"))
-    lists = places.join(shared, "anchor").groupBy("rid").agg(F.collect_set("n").alias("numbers"), F.collect_set(F.when(F.col("hot"), F.col("n"))).alias("often"))
+    places = written(base.select("rid", "text").mapInArrow(_anchors(window, anchor), "anchor long, rid long, n array<int>"), "anchors")
+    counts = places.groupBy("anchor").agg(F.sum(F.size("n")).alias("count")).filter("count > 1")
+    shared = written(counts.select("anchor", (F.col("count") > often).alias("hot")), "shared_anchors")
+    lists = places.join(shared, "anchor").groupBy("rid").agg(F.flatten(F.collect_list("n")).alias("numbers"), F.flatten(F.collect_list(F.when(F.col("hot"), F.col("n")))).alias("often"))
     chosen = written(lists.select("rid", "numbers", "often").mapInArrow(_bitmaps, "rid long, bits binary, some_bits binary"), "chosen")
     rows = base.join(checked(chosen, 128, limit), "rid").select("id", "rid", "text", "bits", F.col("some_bits").alias("often"))
     where = written(rows.mapInArrow(_where(window, anchor), "id long, rid long, number int, first int, route long, digest binary"), "where")
@@ -193,7 +198,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Removes the words that windows of repeated_spans() cover: id, n_words, n_removed, kept_sha256 (of the kept words
     joined by blanks), kept_text (with_text) and removed, as ranges of words. Windows are judged on the input."""
     base, spans = repeated_spans(docs, id_col, text_col, window, **settings)
-    right = checked(spans.select(F.col("id").alias("__id"), F.col("rid").alias("__rid"), "windows"), 512, settings.get("limit"))
+    width = spans.agg(F.avg(F.size("windows"))).first()[0] or 0
+    right = checked(spans.select(F.col("id").alias("__id"), F.col("rid").alias("__rid"), "windows"), int(64 + 4 * width), settings.get("limit"))
     joined = base.join(right, F.col("id").eqNullSafe(F.col("__id")) & (F.col("rid") == F.col("__rid")), "left").select("id", "text", "windows")
     schema = "id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<a:int,b:int>>" + ", kept_text string" * with_text
 
