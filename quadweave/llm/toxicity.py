@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quadweave.llm.words import _BASE, ALNUM_LOWER, Words, chunks, mix, mixed
 
 #: Labelled documents to learn from, at most: those with the least hash of their id.
-SAMPLE = 8000
+SAMPLE = 6000
 #: Beginnings of words, in bytes, that count as features beside whole words. A feature must be tied to the label: chance
 #: alone must give its split between the labels with less than exp(-EVIDENCE).
 PREFIXES, EVIDENCE = (4, 5, 6), 9.0
@@ -109,18 +109,23 @@ def train(docs: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 120, rate
     y = np.array([d[2] for d in docs], float)
     if not len(docs) or y.min() == y.max():  # nothing to tell apart
         return model(np.zeros(0, np.uint32), np.zeros(0), -8.0 if not len(docs) or not y.max() else 0.0)
-    every = np.concatenate([np.unique(d[0]) for d in docs])
-    keys, which = np.unique(every, return_inverse=True)
-    label = np.repeat(y, [len(np.unique(d[0])) for d in docs])
-    n1 = np.bincount(which, label)
-    keys = keys[evidence(n1, np.bincount(which) - n1, y.mean()) > EVIDENCE]
+    own = [np.unique(d[0]) for d in docs]
+    keys, both = np.unique(np.concatenate(own), return_counts=True)
+    toxic, n1 = np.unique(np.concatenate([u for u, label in zip(own, y, strict=True) if label > 0]), return_counts=True)
+    of_toxic = np.zeros(len(keys), np.int64)
+    of_toxic[np.searchsorted(keys, toxic)] = n1
+    keys = keys[evidence(of_toxic, both - of_toxic, y.mean()) > EVIDENCE]
+    del own, both, of_toxic
     if not len(keys):
         return model(keys, np.zeros(0), float(np.log(y.mean() / (1 - y.mean()))))
-    flat = np.concatenate([d[0] for d in docs])
-    sentence = np.repeat(np.arange(sum(len(d[1]) for d in docs)), np.concatenate([d[1] for d in docs]))
-    at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
-    known = keys[at] == flat
-    at, sentence = at[known].astype(np.int32), sentence[known].astype(np.int32)
+    ats, sentences, before = [], [], 0
+    for features, sizes, _ in docs:
+        at = np.minimum(np.searchsorted(keys, features), len(keys) - 1)
+        known = np.flatnonzero(keys[at] == features)
+        ats.append(at[known].astype(np.int32))
+        sentences.append((before + np.searchsorted(np.cumsum(sizes), known, "right")).astype(np.int32))
+        before += len(sizes)
+    at, sentence = np.concatenate(ats), np.concatenate(sentences)
     n = sum(len(d[1]) for d in docs)
     first = np.concatenate([[0], np.cumsum([len(d[1]) for d in docs])[:-1]])
     doc = np.repeat(np.arange(len(docs)), [len(d[1]) for d in docs])
