@@ -79,6 +79,20 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), bits(batch.column(1)), bits(batch.column(2))], names=["rid", "bits", "some_bits"])
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, rid, lists of bounds of runs) -> the same with sorted, disjoint runs: whole copies become one run"""
+    for batch in batches:
+        out = []
+        for row in batch.column(2):
+            bounds = row.values.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+            first, last = bounds[np.argsort(bounds[:, 0], kind="stable")].T
+            reach = np.maximum.accumulate(last)
+            new = np.concatenate([[True], first[1:] > reach[:-1]])
+            ends = np.append(np.flatnonzero(new)[1:], len(first)) - 1
+            out.append(np.stack([first[new], reach[ends]], axis=1).ravel().astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["id", "rid", "windows"])
+
+
 def _flags(bits: bytes, n: int) -> np.ndarray:
     out = np.zeros(n, bool)
     flags = np.unpackbits(np.frombuffer(bits, np.uint8))[:n]
@@ -190,8 +204,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent_pieces = rep_rows.mapInArrow(_words_of(window, anchor, shards), "shard long, copies int, piece string")
     found = sent_pieces.groupBy("shard").applyInArrow(_search(window), "digest binary, windows array<int>")
     shifted = F.transform("windows", lambda x: x + F.col("first"))
-    spans = where.select("id", "rid", "first", "digest").join(found, "digest").groupBy("id", "rid").agg(F.flatten(F.collect_list(shifted)).alias("windows"))
-    return base, written(spans, "spans")
+    spans = where.select("id", "rid", "first", "digest").join(found, "digest").groupBy("id", "rid").agg(F.collect_list(shifted).alias("windows"))
+    return base, written(spans.mapInArrow(_merged, "id long, rid long, windows array<int>"), "spans")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = True, **settings) -> DataFrame:
