@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A table is broadcast only if its rows, at the stated width, stay below this; otherwise the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
+#: Rows of an Arrow batch while a table is written, at most.
+BATCH_ROWS, _BATCH = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,7 +33,12 @@ def folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing of it."""
     path = f"{folder(df.sparkSession).rstrip('/')}/quadweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, batch = df.sparkSession.conf, int(df.sparkSession.conf.get(_BATCH))
+    conf.set(_BATCH, str(min(batch, BATCH_ROWS) if batch > 0 else BATCH_ROWS))  # texts are long rows
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_BATCH, str(batch))
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out

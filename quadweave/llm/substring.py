@@ -100,6 +100,13 @@ def _flags(bits: bytes, n: int) -> np.ndarray:
     return out
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most 500, since a text has many pieces."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _cut(window: int, anchor: int):
     def cut(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, bytes]]:
         """Rows (id, rid, text, bits, often) -> (row, number, first word, route, words) of the chosen pieces of each text; a
@@ -127,7 +134,7 @@ def _cut(window: int, anchor: int):
 def _where(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chosen pieces without their words: (id, rid, number, first, route, digest)"""
-        for batch in batches:
+        for batch in _small(batches):
             row, number, first, route, digest = [], [], [], [], []
             for i, k, lo, r, words in _cut(window, anchor)(batch):
                 row.append(i)
@@ -144,7 +151,7 @@ def _where(window: int, anchor: int):
 def _words_of(window: int, anchor: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (id, rid, text, bits, often, wanted, twice) -> the words of the wanted pieces: (shard, copies, piece)"""
-        for batch in batches:
+        for batch in _small(batches):
             shard, copies, text = [], [], []
             flags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for i, k, _, r, words in _cut(window, anchor)(batch):
