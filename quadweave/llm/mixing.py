@@ -51,18 +51,21 @@ def _keyed(c: str):
 
 class Mixture:
     """slots: (shard, slot, source_key, epoch, block), the mix's blocks in output order; pieces: which words of which
-    document (row, first, words) lie in each block; documents: one row per document with its source's size and target."""
+    document (row, first, words) lie in each block; documents: one row per document with its source's size and target.
+
+    Slots are made from a far smaller table of draws, by whose size Spark would take them for small and broadcast them;
+    joins with them are sort-merge joins on (source, block), which spread a source over all tasks."""
 
     def __init__(self, slots: DataFrame, pieces: DataFrame, documents: DataFrame) -> None:
         self.slots, self.pieces, self.documents = slots, pieces, documents
 
     def blocks(self) -> DataFrame:
         """The mix itself: for each slot, the ranges of words that fill it, by a join on (source, block)."""
-        return self.slots.join(self.pieces, ["source_key", "block"])
+        return self.slots.hint("merge").join(self.pieces, ["source_key", "block"])
 
     def taken(self) -> DataFrame:
         """documents with `taken`: words that the mix takes, repeats counted. Slots are counted per block before the join."""
-        times = self.slots.groupBy("source_key", "block").agg(F.count("*").alias("times"))
+        times = self.slots.groupBy("source_key", "block").agg(F.count("*").alias("times")).hint("merge")
         words = self.pieces.join(times, ["source_key", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
         return self.documents.join(words, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
 
