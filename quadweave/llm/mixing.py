@@ -14,6 +14,8 @@ from quadweave.llm.words import SPACE_WORD, mixed, mix
 
 #: Words of a block; slots of an output shard; times that a source may be repeated at most.
 BLOCK, SHARD, MOST = 128, 4096, 3.0
+#: Shards that one task fills (more only where that would make over TASKS tasks), and that one running sum spans.
+FILLED, TASKS, SPAN = 32, 10_000, 1024
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -106,7 +108,8 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
                 got = np.random.default_rng([seed, int(j)]).multinomial(min(shard, total - int(j) * shard), chance)
                 yield pd.DataFrame({"shard": j, "s": np.flatnonzero(got), "n": got[got > 0]})
 
-    drawn = written(spark.range(-(-total // shard)).mapInPandas(draw, "shard long, s long, n long"), "drawn")
+    shards = -(-total // shard)
+    drawn = written(spark.range(shards).mapInPandas(draw, "shard long, s long, n long"), "drawn")
     drawn_per = np.zeros(len(keys), np.int64)
     for s, n in drawn.groupBy("s").agg(F.sum("n")).collect():
         drawn_per[s] = n
@@ -131,7 +134,11 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
                         place[now] = permuted(i[now] % blocks[x], blocks[x], mixed(seed * 1000003 + int(x) * 101 + int(p)))
                 yield pd.DataFrame({"shard": j, "slot": slot + np.arange(n), "source_key": [keys[x] for x in source], "epoch": epoch, "block": place})
 
-    starts = drawn.withColumn("first", F.sum("n").over(Window.partitionBy("s").orderBy("shard")) - F.col("n"))
+    spans = drawn.withColumn("span", F.floor(F.col("shard") / SPAN))
+    before = spans.groupBy("s", "span").agg(F.sum("n").alias("in_span"))
+    before = before.select("s", "span", (F.sum("in_span").over(Window.partitionBy("s").orderBy("span")) - F.col("in_span")).alias("before"))
+    starts = spans.join(before, ["s", "span"]).withColumn("first", F.col("before") + F.sum("n").over(Window.partitionBy("s", "span").orderBy("shard")) - F.col("n"))
+    starts = starts.repartition(max(1, min(TASKS, -(-shards // FILLED))), "shard")  # by number, as the rows' size says nothing of the slots
     starts = starts.withColumn("slot", F.sum("n").over(Window.partitionBy("shard").orderBy("s")) - F.col("n"))
     slots = starts.mapInPandas(fill, "shard long, slot long, source_key string, epoch long, block long")
 
