@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from urllib.parse import urljoin
@@ -14,10 +16,11 @@ from pyspark.sql import functions as F
 from quadweave.errors import UnsupportedQuery
 from quadweave.plans.parser import Parser
 from quadweave.sources.datasets import QUADS
+from quadweave.sources.rdfxml import parse_rdf_xml
 from quadweave.terms import LANG_STRING, XSD, Blank, Iri, Literal, Variable, n_triples, make
 
 # File extensions and the format of each.
-FORMATS = {".nt": "ntriples", ".nq": "nquads", ".ttl": "turtle", ".trig": "trig", ".n3": "turtle", ".jsonld": "jsonld"}
+FORMATS = {".nt": "ntriples", ".nq": "nquads", ".ttl": "turtle", ".trig": "trig", ".n3": "turtle", ".jsonld": "jsonld", ".rdf": "rdfxml", ".owl": "rdfxml", ".xml": "rdfxml"}
 
 _TERM = r'(<[^>]*>|_:[\w.-]*\w|"(?:[^"\\]|\\.)*"(?:@[\w-]+|\^\^<[^>]*>)?)'
 _LINE = rf"^\s*{_TERM}\s+(<[^>]*>)\s+{_TERM}\s*(<[^>]*>|_:[\w.-]*\w)?\s*\.\s*(?:#.*)?$"
@@ -154,19 +157,32 @@ def parse_jsonld(text: str, base: str = "") -> Iterator[tuple]:
 
 
 def read_documents(docs: DataFrame, source: str = "source", text: str = "text", format_: str = "turtle") -> DataFrame:
-    """One document per row, parsed where the row is: turtle, trig or jsonld. Its graph is its source where it names none."""
-    parse = {"turtle": parse_turtle, "trig": parse_turtle, "jsonld": parse_jsonld}[format_]
+    """One document per row, parsed where the row is: turtle, trig, jsonld or rdfxml. Its graph is its source where it names
+    none. Labels of blank nodes hold within a document only, so each gets its source's digest."""
+    parse = {"turtle": parse_turtle, "trig": parse_turtle, "jsonld": parse_jsonld, "rdfxml": parse_rdf_xml}[format_]
 
     def run(frames):
         for frame in frames:
             rows = []
             for src, body in zip(frame["source"], frame["text"], strict=True):
-                rows += [(q[0] or src, *q[1:], src, None) for q in parse(body or "", src)]
+                own = hashlib.blake2b((src or "").encode(), digest_size=8).hexdigest()
+                for g, sk, s, p, ok, o, od, ol in parse(body or "", src or ""):
+                    rows.append((g or src, sk, f"{s}_{own}" if sk == "blank" else s, p, ok, f"{o}_{own}" if ok == "blank" else o, od, ol, src, None))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in QUADS.split(", ")]).astype({"line": "Int32"})
 
     return docs.select(F.col(source).alias("source"), F.col(text).alias("text")).mapInPandas(run, QUADS).dropDuplicates(["g", "sk", "s", "p", "ok", "o", "od", "ol"])
 
 
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files of one format, known by the extension of path (a file, or a pattern such as dir/*.ttl); each is a source."""
+    known = FORMATS.get(os.path.splitext(path)[1].lower())
+    if known is None:
+        raise UnsupportedQuery(f"no RDF format is known for {path}")
+    if known in ("ntriples", "nquads"):
+        return read_nquads(spark, path)
+    return read_documents(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), F.col("value").alias("text")), format_=known)
+
+
 def statements(triples: DataFrame) -> DataFrame:
     """Triples or quads as lines of N-Triples or N-Quads, ready for write.text."""
     s = make("", F.col("s"))

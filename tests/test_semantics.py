@@ -148,6 +148,40 @@ def test_documents(spark, tmp_path):
     }
 
 
+def test_rdf_xml_and_files(spark, tmp_path):
+    rdf = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+    text = f'''<?xml version="1.0"?><rdf:RDF xmlns:rdf="{rdf}" xmlns="urn:v#" xmlns:v="urn:v#" xml:base="http://e/d" xml:lang="EN">
+      <T rdf:about="a" v:note="n"><name>x &amp; y</name><size rdf:datatype="{XSD}integer">5</size><to rdf:resource="#b"/>
+        <in rdf:parseType="Resource"><deep xml:lang="">z</deep></in><list rdf:parseType="Collection"><T rdf:nodeID="k"/></list></T>
+      <rdf:Seq rdf:ID="s"><rdf:li>1</rdf:li><rdf:li rdf:ID="r">2</rdf:li></rdf:Seq><rdf:Description rdf:nodeID="k"><raw rdf:parseType="Literal">q</raw></rdf:Description>
+    </rdf:RDF>'''
+    got = {q[1:] for q in rdf_io.parse_rdf_xml(text)}
+    a, s, r = ("iri", "http://e/a"), ("iri", "http://e/d#s"), ("iri", "http://e/d#r")
+    assert got == {
+        (*a, rdf + "type", "iri", "urn:v#T", None, None), (*a, "urn:v#note", "literal", "n", None, "en"), (*a, "urn:v#name", "literal", "x & y", None, "en"),
+        (*a, "urn:v#size", "literal", "5", XSD + "integer", None), (*a, "urn:v#to", "iri", "http://e/d#b", None, None),
+        (*a, "urn:v#in", "blank", "x1", None, None), ("blank", "x1", "urn:v#deep", "literal", "z", None, None),
+        ("blank", "k", rdf + "type", "iri", "urn:v#T", None, None), ("blank", "x2", rdf + "first", "blank", "k", None, None),
+        ("blank", "x2", rdf + "rest", "iri", rdf + "nil", None, None), (*a, "urn:v#list", "blank", "x2", None, None),
+        (*s, rdf + "type", "iri", rdf + "Seq", None, None), (*s, rdf + "_1", "literal", "1", None, "en"), (*s, rdf + "_2", "literal", "2", None, "en"),
+        (*r, rdf + "type", "iri", rdf + "Statement", None, None), (*r, rdf + "subject", *s, None, None),
+        (*r, rdf + "predicate", "iri", rdf + "_2", None, None), (*r, rdf + "object", "literal", "2", None, "en"),
+        ("blank", "k", "urn:v#raw", "literal", "q", rdf + "XMLLiteral", None),
+    }
+    assert list(rdf_io.parse_rdf_xml(" ")) == []
+    for name in ("one", "two"):
+        (tmp_path / f"{name}.rdf").write_text(text)
+        (tmp_path / f"{name}.ttl").write_text("<urn:a> <urn:p> [ <urn:q> 1 ] .")
+    assert rdf_io.read_files(spark, f"file://{tmp_path}/*.rdf").count() == 2 * len(got)
+    turtle = rdf_io.read_files(spark, f"file://{tmp_path}/*.ttl")
+    assert turtle.filter("sk = 'blank'").select("s").distinct().count() == 2  # a label holds within its document
+    written = rdf_io.rdf_xml(turtle.drop("g")).collect()
+    back = [q for (x,) in written for q in rdf_io.parse_rdf_xml(x.replace("<rdf:Description", f'<rdf:Description xmlns:rdf="{rdf}"', 1))]
+    assert {q[1:] for q in back} == {(r.sk, r.s, r.p, r.ok, r.o, r.od, r.ol) for r in turtle.collect()}
+    with pytest.raises(UnsupportedQuery):
+        rdf_io.read_files(spark, "x.csv")
+
+
 def test_text(spark):
     df = spark.createDataFrame([("a", "One two.\n\nThree one.", "One"), ("b", "first\nsecond", "x"), ("c", None, None)], "source string, content string, heading string")
     got = [tuple(r) for r in search.chunk_plain(df, "source", "content").select("source", "ordinal", "content", "start_offset").orderBy("source", "ordinal").collect()]
