@@ -12,16 +12,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadweave.llm.shared import written
+from quadweave.llm.shared import forget, written
 from quadweave.llm.words import SPACED_LOWER, Words, chunks, mix, mixed
 
-#: Words with n-gram ids of their own; all others share one class in bigrams. Counts above DISCOUNTED are reliable.
+#: Most frequent words, whose counts and context weights are sent to all tasks; those of others are looked up in the tables'
+#: partitions, so that the model does not depend on it. Counts above DISCOUNTED are reliable.
 VOCABULARY, DISCOUNTED = 65_000, 5
 #: Most frequent bigrams whose counts are sent to all tasks; others are looked up in the table's partitions.
 COMMON = 65_000
 #: Tokens that one partition of the bigram table stands for; bytes of text handled at once.
 PARTITION_TOKENS, RUN_BYTES = 1_500_000, 4 << 20
-START, END, RARE, FIRST = 0, 1, 2, 3
+START, END, FIRST = 0, 1, 2
 END_HASH = np.uint64(mixed(0xE0D))
 
 
@@ -43,10 +44,11 @@ def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What every task needs, of fixed size: ids and counts of the vocabulary, unigram and context tables, and the common
-    bigrams. hashes is sorted; id_of gives their ids. total, types: tokens and distinct tokens of the training text.
-    p1[w]: discounted unigram probability of id w (RARE: of all rare and unknown words together). unknown: of an unseen
-    word. seen[v], back[v]: factor of discounted bigram counts after context v, and its backoff weight."""
+    """What every task needs, of fixed size: counts and context weights of the frequent words, and the common bigrams. Words
+    are named by codes: a frequent one by its id, any other by its hash with the top bit set, which reads as negative.
+    hashes is sorted; id_of gives the frequent words' ids. total, types: tokens and distinct tokens of the training text.
+    p1[w]: discounted unigram probability of id w. unknown: of an unseen word. seen[v], back[v]: factor of discounted bigram
+    counts after context v, and its backoff weight."""
 
     hashes: np.ndarray
     id_of: np.ndarray
@@ -63,9 +65,11 @@ class Model:
     common: np.ndarray
     common_counts: np.ndarray
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
+    def codes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of word hashes, and their training counts where the words are frequent (0 elsewhere)."""
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.id_of[at], RARE)
+        frequent = self.hashes[at] == h
+        return np.where(frequent, self.id_of[at], rare(h)), np.where(frequent, self.counts[at], 0)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.total + 0.1 * (self.types + 1)))
@@ -75,13 +79,20 @@ class Model:
         known = discounted(np.maximum(c, 1), self.d1) * self.shrink / max(self.total, 1)
         return np.log10(np.where(c > 0, known, self.unknown))
 
-    def backoff(self, keys: np.ndarray) -> np.ndarray:
-        """log10 P(w | v) of bigrams (v << 32 | w) that were not seen: backoff weight times the unigram probability."""
-        return np.log10(self.back[keys >> 32]) + np.log10(self.p1[keys & 0xFFFFFFFF])
+    def words(self, w: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """log10 of the unigram probabilities of codes w; c holds the counts of those that are not frequent."""
+        return np.where(w < 0, self.word(c), np.log10(self.p1[np.maximum(w, 0)]))
 
-    def direct(self, keys: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """log10 P(w | v) of bigrams that occur c > 0 times."""
-        return np.log10(discounted(c, self.d2) * self.seen[keys >> 32])
+
+def weights(n: np.ndarray, kept: np.ndarray, unigram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Factor of discounted counts and backoff weight of contexts that occur n times, from the sums of their discounted
+    counts and of the unigram probabilities of the words seen after them."""
+    left = np.maximum(1 - kept / n, 1 / (n + 1))
+    return (1 - left) / kept, left / np.maximum(1 - unigram, 1e-9)
+
+
+def rare(h: np.ndarray) -> np.ndarray:
+    return (h | np.uint64(1 << 63)).view(np.int64)
 
 
 def with_ends(found: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -92,11 +103,22 @@ def with_ends(found: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def bigrams(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(context << 32 | word) of each token; the first of a text follows START."""
-    before = np.concatenate([[START], ids[:-1]])
+def contexts(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The code before each token; the first of a text follows START."""
+    before = np.concatenate([[START], codes[:-1]])
     before[at[:-1]] = START
-    return before << 32 | ids
+    return before
+
+
+def pair_ids(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, and for each bigram one number, (place of v) * (distinct codes) + (place of w)."""
+    u, at = np.unique(np.concatenate([v, w]), return_inverse=True)
+    return u, at[: len(v)] * len(u) + at[len(v) :]
+
+
+def _home(v: np.ndarray, w: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of bigrams: all of a rare context lie together; those of a frequent one are spread."""
+    return _part(np.where(v < 0, v, v << 32 ^ w), parts)
 
 
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -104,25 +126,26 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def pack(keys: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Sorted distinct 64-bit keys and columns beside them; differences and compression keep it small."""
-    steps = np.diff(keys.view(np.int64), prepend=np.int64(0)) if len(keys) else keys.view(np.int64)
+    """64-bit keys and columns beside them, 64-bit ones (int64) or counts (uint32); differences of the keys and compression
+    keep it small."""
     # Bytes of equal weight lie together, so that the many zeros compress.
-    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
-    parts = [planes.tobytes(), *(np.ascontiguousarray(c.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns)]
-    head = np.array([len(keys), *(len(c) for c in columns)], np.int64).tobytes()
-    return len(columns).to_bytes(1, "little") + head + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    planes = lambda c: np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes()
+    keys = np.ascontiguousarray(keys).view(np.int64)
+    columns = [np.diff(keys, prepend=np.int64(0)) if len(keys) else keys, *(np.ascontiguousarray(c) for c in columns)]
+    head = np.array([x for c in columns for x in (len(c), c.itemsize)], np.int64).tobytes()
+    return len(columns).to_bytes(1, "little") + head + zstandard.ZstdCompressor(level=1).compress(b"".join(map(planes, columns)))
 
 
 def unpack(block: bytes) -> list[np.ndarray]:
     k = block[0]
-    sizes = np.frombuffer(block[1 : 9 + 8 * k], np.int64)
-    data = zstandard.ZstdDecompressor().decompress(block[9 + 8 * k :]) if sizes.sum() else b""
-    n = int(sizes[0])
-    steps = np.ascontiguousarray(np.frombuffer(data[: 8 * n], np.uint8).reshape(8, n).T).view(np.int64).ravel()
-    out, at = [np.cumsum(steps).view(np.uint64)], 8 * n
-    for m in sizes[1:].tolist():
-        out.append(np.ascontiguousarray(np.frombuffer(data[at : at + 4 * m], np.uint8).reshape(4, m).T).view(np.uint32).ravel().astype(np.int64))
-        at += 4 * m
+    head = np.frombuffer(block[1 : 1 + 16 * k], np.int64).reshape(k, 2).tolist()
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(block[1 + 16 * k :]) if any(n for n, _ in head) else b"", np.uint8)
+    out, at = [], 0
+    for n, size in head:
+        column = np.ascontiguousarray(data[at : at + size * n].reshape(size, n).T).ravel()
+        out.append(column.view(np.int64) if size == 8 else column.view(np.uint32).astype(np.int64))
+        at += size * n
+    out[0] = np.cumsum(out[0])
     return out
 
 
@@ -138,33 +161,107 @@ def _bigram_blocks(model, parts: int):
         for batch in batches:
             for _, found in chunks(batch.column(0), SPACED_LOWER, RUN_BYTES):
                 h, at = with_ends(found)
-                keys, n = np.unique(bigrams(model.value.ids(h), at), return_counts=True)
-                part = _part(keys, parts)
-                some = np.unique(part)
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pack(keys[part == p].view(np.uint64), n[part == p]) for p in some], pa.binary())], names=["part", "block"])
+                codes, _ = model.value.codes(h)
+                u, pair = pair_ids(contexts(codes, at), codes)
+                pair, n = np.unique(pair, return_counts=True)
+                v, w = u[pair // len(u)], u[pair % len(u)]
+                part = _home(v, w, parts)
+                order = np.lexsort((v, w < 0, part))  # frequent words first: their codes compress
+                v, w, n = v[order], w[order], n[order].astype(np.uint32)
+                edges = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+                some = [p for p in range(parts) if edges[p] < edges[p + 1]]
+                blocks = [pack(*(c[edges[p] : edges[p + 1]] for c in (v, n, w))) for p in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blocks, pa.binary())], names=["part", "block"])
 
     return run
 
 
 def _sum_blocks(table: pa.Table) -> pa.Table:
-    """Blocks of one partition -> its table: sorted keys with counts, and how many keys occur 1..DISCOUNTED + 1 times."""
-    blocks = [unpack(b.as_py()) for b in table.column("block")]
-    keys, at = np.unique(np.concatenate([b[0] for b in blocks]), return_inverse=True)
-    n = np.bincount(at, np.concatenate([b[1] for b in blocks])).astype(np.int64)
+    """Blocks of one partition -> its table: sorted bigrams with counts, and how many occur 1..DISCOUNTED + 1 times."""
+    v, n, w = (np.concatenate(x) for x in zip(*(unpack(b.as_py()) for b in table.column("block")), strict=True))
+    order = np.lexsort((w, v))
+    v, w = v[order], w[order]
+    first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
+    n = np.add.reduceat(n[order], first)
     few = np.bincount(np.minimum(n, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
-    return pa.table({"part": table.column("part").slice(0, 1), "block": pa.array([pack(keys, n)], pa.binary()), "few": pa.array([few.tolist()], pa.list_(pa.int64()))})
+    return pa.table({"part": table.column("part").slice(0, 1), "block": pa.array([pack(v[first], n.astype(np.uint32), w[first])], pa.binary()), "few": pa.array([few.tolist()], pa.list_(pa.int64()))})
+
+
+def _rare_words(w: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The distinct rare words of a bigram table by the partition that knows their counts."""
+    u = np.unique(w[w < 0])
+    part = _part(u, parts)
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+    for p in range(parts):
+        if edges[p] < edges[p + 1]:
+            yield p, u[order[edges[p] : edges[p + 1]]]
+
+
+def _ask_counts(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for home, block in zip(batch.column(0), batch.column(1), strict=True):
+                asked = list(_rare_words(unpack(block.as_py())[2], parts))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([p for p, _ in asked], pa.int32()), pa.array([home.as_py()] * len(asked), pa.int32()), pa.array([pack(u) for _, u in asked], pa.binary()),
+                ], names=["part", "home", "block"])
+
+    return run
+
+
+def _blocks(table: pa.Table) -> list[bytes]:
+    return [b.as_py() for b in table.column("block")] if "block" in table.column_names and table.num_rows else []
+
+
+def _tell_counts(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """Blocks of rare words -> their counts, in the same order. All of them occur in the training text."""
+    tables = [unpack(b) for b in _blocks(known)]
+    rows = list(zip(*(asked.column(c).to_pylist() for c in ("home", "part", "block")), strict=True)) if asked.num_rows else []
+    if rows:
+        keys, n = (np.concatenate([t[i] for t in tables]) for i in (0, 1))
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+    told = [pack(np.zeros(0, np.int64), n[np.searchsorted(keys, unpack(b)[0])].astype(np.uint32)) for _, _, b in rows]
+    return pa.table({"home": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int32()), "block": pa.array(told, pa.binary())})
+
+
+def _with_counts(parts: int):
+    def run(told: pa.Table, table: pa.Table) -> pa.Table:
+        """A bigram table with the counts of its rare words beside them (0 beside frequent ones)."""
+        counts = dict(zip(told.column("part").to_pylist(), _blocks(told), strict=True)) if told.num_rows else {}
+        out = []
+        for block in _blocks(table):
+            v, n, w = unpack(block)
+            asked = [(u, unpack(counts[p])[1]) for p, u in _rare_words(w, parts)]
+            c = np.zeros(len(w), np.int64)
+            if asked:
+                words, known = (np.concatenate(x) for x in zip(*asked, strict=True))
+                order = np.argsort(words)
+                c[w < 0] = known[order][np.searchsorted(words[order], w[w < 0])]
+            out.append(pack(v, n.astype(np.uint32), w, c.astype(np.uint32)))
+        return pa.table({"part": table.column("part") if out else pa.array([], pa.int32()), "block": pa.array(out, pa.binary())})
+
+    return run
+
+
+def _context_sums(m: Model, v: np.ndarray, n: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted bigrams: where each context starts, its count, the sum of discounted counts, and of the seen words'
+    unigrams; and log10 of each bigram's unigram."""
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))[: len(v)]
+    p = m.words(w, c)
+    return first, *((np.add.reduceat(x, first) if len(v) else np.zeros(0)) for x in (n, discounted(n, m.d2), 10**p)), p
 
 
 def _contexts(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Bigram tables -> per context: its count, the sum of discounted counts, and of the seen words' unigrams."""
-        m = model.value
+        """Bigram tables -> the sums of their frequent contexts, which are spread over partitions."""
         for batch in batches:
             for block in batch.column(0):
-                keys, n = unpack(block.as_py())
-                keys = keys.view(np.int64)
-                v, at = np.unique(keys >> 32, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(v), *(pa.array(np.bincount(at, x)) for x in (n, discounted(n, m.d2), m.p1[keys & 0xFFFFFFFF]))], names=["v", "n", "kept", "unigram"])
+                columns = unpack(block.as_py())
+                columns = [c[columns[0] >= 0] for c in columns]
+                first, *sums, _ = _context_sums(model.value, *columns)
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0][first]), *(pa.array(x.astype(float)) for x in sums)], names=["v", "n", "kept", "unigram"])
 
     return run
 
@@ -172,18 +269,21 @@ def _contexts(model):
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in batch.column(0):
-            keys, n = unpack(block.as_py())
+            v, n, w, _ = unpack(block.as_py())
+            frequent = (v >= 0) & (w >= 0)
+            keys, n = v[frequent] << 32 | w[frequent], n[frequent]
             high = np.argsort(-n, kind="stable")[:COMMON]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[high].view(np.int64)), pa.array(n[high])], names=["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[high]), pa.array(n[high])], names=["key", "n"])
 
 
-SCORED = "uid long, id long, n_tokens long, n_known long, base double, score double, kind int, part int, block binary"
+SCORED = "uid long, id long, n_tokens long, n_known long, base double, score double, asks boolean, part int, block binary"
 
 
 def _score_runs(model, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, text) -> a row per text with what the model alone tells, and blocks of what it must look up: kind 1, bigrams;
-        kind 2, rare words. A block holds distinct keys, how often each occurs, and the texts it occurs in."""
+        """(id, text) -> a row per text with what the model alone tells, and blocks of bigrams to look up: all that follow a
+        rare word, and those after frequent words that are not common. A block holds distinct bigrams, how often each
+        occurs, and the texts it occurs in."""
         m = model.value
         for batch in batches:
             for rows, found in chunks(batch.column(1), SPACED_LOWER, RUN_BYTES):
@@ -191,39 +291,41 @@ def _score_runs(model, parts: int):
                 first = uuid.uuid4().int >> 66 & ~0xFFFFF
                 h, at = with_ends(found)
                 doc = np.repeat(np.arange(docs), np.diff(at))
-                ids = m.ids(h)
-                slot = np.minimum(np.searchsorted(m.hashes, h), len(m.hashes) - 1)
-                c = np.where(ids != RARE, m.counts[slot], 0)
-                keys = bigrams(ids, at)
+                w, c = m.codes(h)
+                v = contexts(w, at)
+                keys = np.where((v >= 0) & (w >= 0), v << 32 | w, -1)
                 place = np.minimum(np.searchsorted(m.common, keys), max(len(m.common) - 1, 0))
                 near = (m.common[place] == keys) if len(m.common) else np.zeros(len(keys), bool)
-                lp = m.backoff(keys)
-                lp[near] = m.direct(keys[near], m.common_counts[place[near]])
-                known = ids != RARE
+                # Rare words are scored where their bigrams are looked up; what seen bigrams gain comes on top.
+                known = w >= 0
+                lp = np.where(known, np.log10(m.p1[np.maximum(w, 0)]), 0.0) + np.where(v >= 0, np.log10(m.back[np.maximum(v, 0)]), 0.0)
+                lp[near] = np.log10(discounted(m.common_counts[place[near]], m.d2) * m.seen[v[near]])
                 columns = [np.bincount(doc, x, docs) for x in (known & (c > 0), np.where(known, m.base(c), 0.0), lp)]
                 n = docs
                 yield pa.RecordBatch.from_arrays([
                     pa.array(first + np.arange(docs)), batch.column(0).slice(rows.start, docs), pa.array(np.diff(at), pa.int64()),
                     pa.array(columns[0].astype(np.int64)), pa.array(columns[1]), pa.array(columns[2]),
-                    pa.array(np.zeros(n), pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                    pa.array(np.zeros(n, bool)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                ], names=[x.split()[0] for x in SCORED.split(", ")])
+                v, w, doc = v[~near], w[~near], doc[~near]
+                u, pair = pair_ids(v, w)
+                pair, at, often = np.unique(pair, return_inverse=True, return_counts=True)
+                v, w = (u[pair // len(u)], u[pair % len(u)]) if len(u) else (v, w)
+                part = _home(v, w, parts)
+                order = np.lexsort((v, w < 0, part))  # frequent words first: their codes compress
+                rank = np.empty_like(order)
+                rank[order] = np.arange(len(order))
+                of = doc[np.argsort(rank[at] * docs + doc)].astype(np.uint32)
+                v, w, often = v[order], w[order], often[order].astype(np.uint32)
+                ends = np.concatenate([[0], np.cumsum(often, dtype=np.int64)])
+                edges = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+                some = [p for p in range(parts) if edges[p] < edges[p + 1]]
+                blocks = [pack(*(c[edges[p] : edges[p + 1]] for c in (v, often, w)), of[ends[edges[p]] : ends[edges[p + 1]]]) for p in some]
+                n = len(some)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(n, first), pa.int64()), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())),
+                    pa.array(np.ones(n, bool)), pa.array(some, pa.int32()), pa.array(blocks, pa.binary()),
                 ], names=[x.split()[0] for x in SCORED.split(", ")])
-                for kind, which, key in ((1, ~near, keys.view(np.uint64)), (2, ~known, h)):
-                    part, key, of = _part(key[which], parts), key[which], doc[which]
-                    order = np.lexsort((of, key, part))
-                    part, key, of = part[order], key[order], of[order]
-                    edges = np.searchsorted(part, np.arange(parts + 1))
-                    some = np.flatnonzero(np.diff(edges))
-                    blocks = []
-                    for p in some:
-                        k, o = key[edges[p] : edges[p + 1]], of[edges[p] : edges[p + 1]]
-                        distinct, often = np.unique(k.view(np.int64), return_counts=True)
-                        o = o[np.argsort(k.view(np.int64), kind="stable")]
-                        blocks.append(pack(distinct.view(np.uint64), often, o))
-                    n = len(some)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(n, first), pa.int64()), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())),
-                        pa.array(np.full(n, kind), pa.int32()), pa.array(some, pa.int32()), pa.array(blocks, pa.binary()),
-                    ], names=[x.split()[0] for x in SCORED.split(", ")])
 
     return run
 
@@ -232,22 +334,31 @@ def _look_up(model):
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
         """Blocks of one partition against its table -> what they add to the texts of each run: n_known, base, score."""
         m = model.value
-        tables = [unpack(b.as_py()) for b in known.column("block")] if "block" in known.column_names and known.num_rows else []
-        keys, n = (np.concatenate([t[i] for t in tables]) for i in (0, 1)) if tables else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
+        tables = [unpack(b) for b in _blocks(known)] or [[np.zeros(0, np.int64)] * 4]
+        v, n, w, c = tables[0]  # a table per partition
+        first, total, kept, unigram, p = _context_sums(m, v, n, w, c)
+        heads, words = v[first], np.unique(w)
+        frequent = heads >= 0
+        seen, back = weights(total, kept, unigram)
+        seen[frequent], back[frequent] = m.seen[heads[frequent]], m.back[heads[frequent]]
+        of_head = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(v))))
+        keys = of_head * len(words) + np.searchsorted(words, w)
+        gains = np.log10(discounted(n, m.d2) * seen[of_head]) - np.log10(back[of_head]) - p
         out: dict[int, list[np.ndarray]] = {}
-        for uid, kind, block in zip(*(asked.column(c) for c in ("uid", "kind", "block")), strict=True):
-            k, often, of = unpack(block.as_py())
-            at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
-            c = np.where(keys[at] == k, n[at], 0) if len(keys) else np.zeros(len(k), np.int64)
-            if kind.as_py() == 1:
-                k = k.view(np.int64)
-                gain = np.zeros(len(k))
-                gain[c > 0] = m.direct(k[c > 0], c[c > 0]) - m.backoff(k[c > 0])
-                known_, base = np.zeros(len(k)), np.zeros(len(k))
-            else:
-                gain, known_, base = m.word(c) - np.log10(m.p1[RARE]), c > 0, m.base(c)
+        for uid, block in zip(*(asked.column(c) for c in ("uid", "block")), strict=True):
+            v, often, w, of = unpack(block.as_py())
+            gain, c = np.zeros(len(v)), np.zeros(len(v), np.int64)
+            if len(keys):
+                i, j = (np.minimum(np.searchsorted(x, y), len(x) - 1) for x, y in ((heads, v), (words, w)))
+                head = heads[i] == v
+                key = i * len(words) + j
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = head & (words[j] == w) & (keys[at] == key)
+                gain[hit] = gains[at[hit]]
+                c[head] = total[i[head]]  # a word occurs as often as it is a context
+                gain[head & (v < 0)] += np.log10(back[i[head & (v < 0)]])
+            gain += np.where(v < 0, m.word(c), 0.0)
+            known_, base = (v < 0) & (c > 0), np.where(v < 0, m.base(c), 0.0)
             docs, where = np.unique(of, return_inverse=True)
             sums = [np.bincount(where, np.repeat(x, often), len(docs)) for x in (known_, base, gain)]
             out.setdefault(uid.as_py(), []).append(np.stack([docs.astype(float), *sums]))
@@ -268,20 +379,21 @@ def _sum_runs(table: pa.Table) -> pa.Table:
 def _word_blocks(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            part = _part(keys.view(np.uint64), parts)
+            keys, n = rare(batch.column(0).to_numpy().view(np.uint64)), batch.column(1).to_numpy()
+            part = _part(keys, parts)
             order = np.lexsort((keys, part))
             keys, n, part = keys[order], n[order], part[order]
             edges = np.searchsorted(part, np.arange(parts + 1))
             some = np.flatnonzero(np.diff(edges))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pack(keys[edges[p] : edges[p + 1]].view(np.uint64), n[edges[p] : edges[p + 1]]) for p in some], pa.binary())], names=["part", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pack(keys[edges[p] : edges[p + 1]], n[edges[p] : edges[p + 1]].astype(np.uint32)) for p in some], pa.binary())], names=["part", "block"])
 
     return run
 
 
 class Katz:
     """A bigram model of `training`, a DataFrame with one text column. Its tables are stored in the shared folder: words
-    (word, n), and bigram counts in partitions by key. The driver holds only tables of fixed size."""
+    (word, n), and bigram counts with those of their rare words, in partitions by context, or by bigram where the context is
+    one of the `vocabulary` most frequent words. Every word and bigram counts, whatever `vocabulary` is. The driver holds only tables of fixed size."""
 
     def __init__(self, training: DataFrame, vocabulary: int = VOCABULARY) -> None:
         spark = training.sparkSession
@@ -304,8 +416,7 @@ class Katz:
         unknown = 1 - kept * shrink / total if total else 1.0
         p1 = np.zeros(FIRST + len(ranked))
         p1[ids] = np.where(counts > 0, discounted(np.maximum(counts, 1), d1) * shrink / max(total, 1), 0)
-        p1[END] = p1[END] or 1e-12  # an empty training text
-        p1[RARE] = max(1 - p1.sum(), unknown)
+        p1[END] = p1[END] or unknown  # an empty training text
         p1[START] = 1.0  # never predicted
         order = np.argsort(hashes)
         n = len(p1)
@@ -313,15 +424,19 @@ class Katz:
         self.parts = max(12, total // PARTITION_TOKENS)
         sent = spark.sparkContext.broadcast(model)
         blocks = text.mapInArrow(_bigram_blocks(sent, self.parts), "part int, block binary")
-        self.table = written(blocks.repartition(self.parts, "part").groupBy("part").applyInArrow(_sum_blocks, "part int, block binary, few array<long>"), "bigrams")
-        counted = self.table.agg(*(F.sum(F.get("few", F.lit(i))) for i in range(DISCOUNTED + 1))).first()
+        counts = written(blocks.repartition(self.parts, "part").groupBy("part").applyInArrow(_sum_blocks, "part int, block binary, few array<long>"), "counts")
+        counted = counts.agg(*(F.sum(F.get("few", F.lit(i))) for i in range(DISCOUNTED + 1))).first()
         model.d2 = discounts(np.array([0, *(x or 0 for x in counted)], float))
+        asked = counts.select("part", "block").mapInArrow(_ask_counts(self.parts), "part int, home int, block binary")
+        known = self.words.mapInArrow(_word_blocks(self.parts), "part int, block binary")
+        told = asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_tell_counts, "home int, part int, block binary")
+        full = told.groupBy("home").cogroup(counts.select("part", "block").groupBy("part")).applyInArrow(_with_counts(self.parts), "part int, block binary")
+        self.table = written(full, "bigrams")
+        forget(counts)
         sent = spark.sparkContext.broadcast(model)
         sums = self.table.select("block").mapInArrow(_contexts(sent), "v long, n double, kept double, unigram double")
         for v, c, kept_, unigram in sums.groupBy("v").agg(F.sum("n"), F.sum("kept"), F.sum("unigram")).collect():  # a row per id at most
-            left = max(1 - kept_ / c, 1 / (c + 1))
-            model.seen[v] = (1 - left) / kept_
-            model.back[v] = left / max(1 - unigram, 1e-9)
+            model.seen[v], model.back[v] = weights(c, kept_, unigram)
         common = self.table.select("block").mapInArrow(_common, "key long, n long").orderBy(F.desc("n"), "key").limit(COMMON).collect()
         common.sort()
         model.common, model.common_counts = (np.array([r[i] for r in common], np.int64) for i in (0, 1))
@@ -333,13 +448,9 @@ class Katz:
         sent = self.spark.sparkContext.broadcast(self.model)
         base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         rows = written(base.mapInArrow(_score_runs(sent, self.parts), SCORED), "scored")
-        tables = {1: self.table.select("part", "block"), 2: self.words.mapInArrow(_word_blocks(self.parts), "part int, block binary")}
-        found = None
-        for kind, known in tables.items():
-            asked = rows.filter(F.col("kind") == kind).select("part", "uid", "kind", "block")
-            got = asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_look_up(sent), "uid long, sums binary")
-            found = got if found is None else found.union(got)
+        asked = rows.filter("asks").select("part", "uid", "block")
+        found = asked.groupBy("part").cogroup(self.table.groupBy("part")).applyInArrow(_look_up(sent), "uid long, sums binary")
         sums = found.groupBy("uid").applyInArrow(_sum_runs, "uid long, known long, base double, gain double").withColumnRenamed("base", "more")
-        own = rows.filter("kind = 0").select("uid", "id", "n_tokens", "n_known", F.col("base").alias("own"), "score")
+        own = rows.filter("not asks").select("uid", "id", "n_tokens", "n_known", F.col("base").alias("own"), "score")
         zero = F.lit(0.0)
         return own.join(sums, "uid", "left").select("id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("own") + F.coalesce("more", zero)).alias("base"), (F.col("score") + F.coalesce("gain", zero)).alias("score"))

@@ -219,6 +219,16 @@ def test_katz(docs, spark):
     assert len(none) == len(got) and all(r.n_known == 0 and math.isfinite(r.score) for r in none)
 
 
+def test_katz_of_rare_words(docs):
+    rows = [r for r in corpus() if zlib.crc32(str(r[0]).encode()) % 10]
+    words = {r[0]: words_of(lower(r[1])) for r in corpus()}
+    want = dict(zip(words, katz_by_hand([words_of(lower(r[1])) for r in rows], words.values()), strict=True))
+    training = docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0).select("text")
+    for vocabulary in (0, 20):  # the words beyond have bigrams of their own, too
+        for r in lm.Katz(training, vocabulary=vocabulary).score(docs).collect():
+            assert abs(r.score - want[r.id]) < 1e-6 * max(1, abs(want[r.id]))
+
+
 def test_decontamination(spark, docs):
     w = [x for x in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(corpus()[70][1]))]
     items = [(1, " ".join(w[5:40])), (2, "one two three four"), (3, None), (10, "..!"), (11, "unheard of"), (2, "one two three four"), (12, " ".join(w[50:59]))]
