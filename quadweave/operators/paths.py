@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rounds after which a closure gives up: a path of as many steps that reaches new pairs each time.
-MOST_ROUNDS = 1000
-
 
 def _cut(df: DataFrame) -> DataFrame:
     """Ends the lineage in the shared checkpoint folder where there is one, else in the warehouse."""
@@ -20,7 +17,8 @@ def _cut(df: DataFrame) -> DataFrame:
 def reachable(step: DataFrame, op: str, nodes: DataFrame | None, start: Column | None, goal: Column | None) -> DataFrame:
     """Distinct pairs (a, b) joined by the steps: op is opt (0 or 1), star (0 or more) or plus (1 or more).
 
-    Semi-naive: each round extends only pairs that are new. A known start or goal keeps the search to what it reaches."""
+    Semi-naive: each round extends only pairs that are new, until there are none: a round per step of the longest of the
+    shortest paths. A known start or goal keeps the search to what it reaches."""
     zero = nodes.select("a", F.col("a").alias("b")) if nodes is not None else None
     if op == "opt":
         return step.union(zero).distinct()
@@ -31,7 +29,7 @@ def reachable(step: DataFrame, op: str, nodes: DataFrame | None, start: Column |
     new = walk if first is None else walk.filter(F.col("a") == first)
     found = new = _cut(new)
     edges = walk.select(F.col("a").alias("via"), F.col("b").alias("to"))
-    for _ in range(MOST_ROUNDS):
+    while True:
         ahead = new.join(edges, F.col("b") == F.col("via")).select("a", F.col("to").alias("b")).distinct()
         new = _cut(ahead.join(found, ["a", "b"], "left_anti"))
         if new.isEmpty():

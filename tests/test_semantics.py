@@ -100,6 +100,15 @@ def test_paths(spark):
     assert [r.nodes for r in paths.search_paths(e.dataset.quads, "urn:a", "urn:d")[0].collect()] == [["urn:a", "urn:b", "urn:c", "urn:d"]]
 
 
+def test_paths_longer_than_any_bound_on_rounds(spark, monkeypatch):
+    monkeypatch.setattr(paths, "MOST_ROUNDS", 2, raising=False)  # a bound of rounds, where there is one, cuts nothing
+    e = store(spark, " ".join(f":n{i} :p :n{i + 1} ." for i in range(6)))
+    t = {"x": "str", "y": "str"}
+    want = sorted((f"urn:n{i}", f"urn:n{j}") for i in range(7) for j in range(i + 1, 7))
+    assert sorted(rows(e, "SELECT ?x ?y WHERE { ?x :p+ ?y }", t)) == want
+    assert len(rows(e, "SELECT ?x WHERE { :n0 :p* ?x }", t)) == len(rows(e, "SELECT ?x WHERE { ?x :p* :n6 }", t)) == 7
+
+
 def test_forms(spark):
     e = store(spark, ":a :p 'x' , 'y' .")
     assert e.ask(P + "ASK { :a :p 'x' }") and not e.ask(P + "ASK { :b ?p ?o }")
