@@ -10,30 +10,51 @@ from quadweave.llm.decontam import contamination
 from quadweave.llm.exact import exact_groups
 from quadweave.llm.mixing import mixture
 from quadweave.llm.near import near_groups
-from quadweave.llm.shared import fold, table, without, written
+from quadweave.llm.shared import checked, fold, table, without, written
+
+ROW = "__row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, so that decisions reach rows whatever their doc_id, null and repeated ones included."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def kept(rows: DataFrame, drop: DataFrame, name: str) -> DataFrame:
+    """The rows whose key is not in the one column of drop, without the key."""
+    return without(rows, written(drop, name), ROW).drop(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score as toxic. Labels are learned from the folds that the toxicity query learns from."""
     fitted = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1))
-    scored = toxicity.score(docs, fitted).filter(F.col("score") >= toxicity.THRESHOLD).select("id").distinct()
-    return without(docs, written(scored, "toxic"), "doc_id")
+    rows = keyed(docs)
+    return kept(rows, toxicity.score(rows, fitted, id_col=ROW).filter(F.col("score") >= toxicity.THRESHOLD).select("id"), "toxic")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the largest doc_id of each group of equal texts."""
-    return without(docs, written(exact_groups(docs, keep="max").filter("not kept").select("id").distinct(), "copies"), "doc_id")
+    """Keeps one row of each group of equal texts: that of the largest doc_id; one without an id if no other has one."""
+    rows = keyed(docs)
+    ranked = rows.withColumn("__rank", F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", ROW))
+    return kept(rows, exact_groups(ranked, id_col="__rank", keep="max").filter("not kept").select(F.col("id")[ROW].alias("id")), "copies")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near-duplicates."""
-    return without(docs, written(near_groups(docs).filter("not kept").select("id").distinct(), "near_copies"), "doc_id")
+    """Keeps one row of each group of near-duplicates: that of the smallest doc_id; one without an id if no other has one."""
+    rows = keyed(docs)
+    linked = written(near_groups(rows, id_col=ROW).filter("not kept").select("id", "component_id"), "near_copies")
+    members = linked.union(linked.select("component_id", "component_id").distinct())
+    ranked = rows.join(checked(members, 32), rows[ROW] == members["id"]).select("id", "component_id", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW).alias("rank"))
+    ranked = written(ranked, "near_ranked")
+    first = ranked.groupBy("component_id").agg(F.min("rank").alias("first"))
+    return kept(rows, ranked.join(first, "component_id").filter(F.col("id") != F.col("first")[ROW]).select("id"), "near_dropped")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a window of a benchmark item occurs."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, written(found.filter("n_hit > 0").select("id").distinct(), "contaminated"), "doc_id")
+    rows = keyed(docs)
+    found = contamination(rows, table(spark, sf_dir, "benchmark"), id_col=ROW)
+    return kept(rows, found.filter("n_hit > 0").select("id"), "contaminated")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

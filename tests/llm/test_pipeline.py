@@ -85,3 +85,24 @@ def test_stages_keep_columns(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "mixing"]
     for _, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, docs, sf).columns == docs.columns
+
+
+def test_filters_decide_on_rows(spark, sf):
+    words = lambda a, n=40: " ".join(f"{a}{i}" for i in range(n))
+    passage = next(r.text for r in table(spark, sf, "benchmark").orderBy("item_id").collect() if len((r.text or "").split()) > 12)
+    d = "doc_id long, text string"
+    exact = spark.createDataFrame([(None, words("a")), (3, words("a")), (3, words("a").upper()), (3, words("b")), (5, words("b")), (None, words("c")), (None, words("c"))], d)
+    got = sorted(((r.doc_id, r.text.lower()) for r in corpus_pipeline.drop_exact_copies(spark, exact, sf).collect()), key=str)
+    assert got == sorted([(3, words("a")), (5, words("b")), (None, words("c"))], key=str)
+    near = spark.createDataFrame([(None, words("a")), (4, words("a") + " x"), (2, words("a") + " y"), (4, words("b")), (None, words("c")), (None, words("c") + " z"), (7, "")], d)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, near, sf).collect()]
+    assert len(got) == 4 and {(2, words("a") + " y"), (4, words("b")), (7, "")} < set(got) and sum(i is None for i, _ in got) == 1
+    leaks = spark.createDataFrame([(None, passage), (1, passage), (1, words("b")), (None, words("c"))], d)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, leaks, sf).collect()]
+    assert sorted(got, key=str) == [(1, words("b")), (None, words("c"))]
+    docs = table(spark, sf, "documents")
+    fitted = toxicity.fit(docs, table(spark, sf, "labels").filter(fold("doc_id", 3) != 1))
+    bad = {r.id for r in toxicity.score(docs, fitted).collect() if r.score >= toxicity.THRESHOLD}
+    target = docs.filter(docs.doc_id.isin(list(bad))).drop("doc_id").selectExpr("cast(null as long) doc_id", "*").select(docs.columns)
+    left = corpus_pipeline.drop_toxic(spark, docs.union(target), sf)
+    assert bad and left.filter("doc_id is null").count() == 0 and left.count() == docs.count() - len(bad)
