@@ -28,7 +28,7 @@ MATCHES = "shard string, row int, id long, n_words long, hits array<struct<a:int
 class Windows:
     """Distinct windows of a block of items. terms: sorted hashes of all words; of[w, i]: term of place i, -1 past the end;
     order[w]: places from the rarest term to the commonest; items of window w: item[item_at[w]:item_at[w + 1]], as indexes
-    of names, which are sorted as strings."""
+    of names, which are sorted as strings; None, last, stands for items without an id."""
 
     terms: np.ndarray
     of: np.ndarray
@@ -36,12 +36,13 @@ class Windows:
     order: np.ndarray
     item: np.ndarray
     item_at: np.ndarray
-    names: list[str]
+    names: list[str | None]
 
 
 def compile_windows(items: list[tuple[object, str | None]], size: int = WINDOW) -> Windows:
-    items = sorted(((str(i), t) for i, t in items), key=lambda x: x[0])
-    names = sorted({i for i, _ in items})
+    order = lambda i: (i is None, i or "")
+    items = sorted(((i if i is None else str(i), t) for i, t in items), key=lambda x: order(x[0]))
+    names = sorted({i for i, _ in items}, key=order)
     index = {n: i for i, n in enumerate(names)}
     seen: dict[tuple, set[int]] = {}
     for part, found in chunks(pa.array([t for _, t in items], pa.string()), ALNUM_LOWER):
@@ -128,12 +129,12 @@ def match_batches(batches: Iterator[pa.RecordBatch], w: Windows, slop: int) -> I
             taken = np.repeat(term_at[ours] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
             postings = place[ours], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), positions[taken]
 
-            def items(win: np.ndarray, begin: np.ndarray) -> list[list[str]]:
+            def items(win: np.ndarray, begin: np.ndarray) -> list[list[str | None]]:
                 doc = np.searchsorted(starts, begin, "right") - 1  # noqa: B023
                 n = w.item_at[win + 1] - w.item_at[win]
                 item = w.item[np.repeat(w.item_at[win] - np.cumsum(n) + n, n) + np.arange(n.sum())]
                 pairs = np.unique(np.repeat(doc, n) * len(w.names) + item)
-                out: list[list[str]] = [[] for _ in range(len(starts) - 1)]  # noqa: B023
+                out: list[list[str | None]] = [[] for _ in range(len(starts) - 1)]  # noqa: B023
                 for p in pairs.tolist():
                     out[p // len(w.names)].append(w.names[p % len(w.names)])
                 return out
@@ -173,15 +174,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Returns one row per document: id, n_words, n_hit (words inside exact matches), items (ids of the items whose windows
     occur, sorted as strings) and near_items (with slop: items with a window all of whose words lie within `slop` of their
     places; else the same as items). Null and empty texts have no words; repeated rows are scored one by one; items
-    without words match nothing, and without items nothing is hit.
+    without an id hit like others and are one null, last, in items, which OP5_SQL counts as one item; items without words match nothing, and without items nothing is hit.
 
     The postings are stored first, as a table of shards that hold whole documents (about 1 MB of text each), for the
     words of the benchmark: others occur in no window. The benchmark is the query set: it is compiled in blocks of bounded
     size, and each block is matched against all shards."""
     spark = docs.sparkSession
-    queries = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("t")).filter("item is not null and t is not null")
+    queries = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("t")).filter("t is not null")
     n = int((queries.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes) + 1
-    blocks = [compile_windows([(r[0], r[1]) for r in queries.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == b).collect()], size) for b in range(n)]
+    blocks = [compile_windows([(r[0], r[1]) for r in queries.filter(F.pmod(F.xxhash64(F.coalesce("item", "t")), F.lit(n)) == b).collect()], size) for b in range(n)]
     terms = np.unique(np.concatenate([w.terms for w in blocks]))
     sent = spark.sparkContext.broadcast(terms)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

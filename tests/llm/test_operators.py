@@ -256,6 +256,14 @@ def test_decontamination(spark, docs):
     assert near.n_hit == 0 and near.near_items == ["2"]
 
 
+def test_decontamination_by_items_without_id(spark):
+    docs = spark.createDataFrame([(1, "so one two three"), (2, "four five six"), (3, "one two three four five"), (4, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two three"), (None, "three four"), (7, "four five"), (None, None)], "item_id long, text string")
+    for settings in ({}, {"block_bytes": 4}):
+        got = {r.id: (r.n_hit, list(r["items"])) for r in contamination(docs, bench, **settings).collect()}
+        assert got == {1: (3, [None]), 2: (2, ["7"]), 3: (5, ["7", None]), 4: (0, [])}
+
+
 def test_mixing(docs):
     m = mixing.mixture(docs, block=8, shard=64)
     got = m.taken().collect()
