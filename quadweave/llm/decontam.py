@@ -84,10 +84,10 @@ def index_batches(batches: Iterator[pa.RecordBatch], terms: np.ndarray) -> Itera
             ], names=["shard", "ids", "starts", "terms", "term_at", "positions"])
 
 
-def intersect(w: Windows, local: np.ndarray, term_at: np.ndarray, positions: np.ndarray, starts: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of all matches in one shard. Candidates come from the postings of each window's rarest term; the
+def intersect(w: Windows, local: np.ndarray, term_at: np.ndarray, positions: np.ndarray, starts: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, start, document) of all matches in one shard. Candidates come from the postings of each window's rarest term; the
     other terms' postings, adjusted by their offsets, are intersected with them in order of rarity. With slop, each term
-    may lie up to that many words off its place."""
+    may lie up to that many words off its place, and a match may start before its document."""
     span = int(starts[-1]) + w.of.shape[1] + slop + 1
     keys = np.repeat(local, np.diff(term_at)) * span + positions  # sorted: local is, and so are a term's positions
     slot = np.full(len(w.terms), -1, np.int64)
@@ -113,7 +113,7 @@ def intersect(w: Windows, local: np.ndarray, term_at: np.ndarray, positions: np.
         i = np.searchsorted(keys, term * span + low)
         hit = (term < 0) | (keys[np.minimum(i, len(keys) - 1)] <= term * span + high) & (i < len(keys)) & (low <= high)
         win, begin, doc = win[hit], begin[hit], doc[hit]
-    return win, begin
+    return win, begin, doc
 
 
 def match_batches(batches: Iterator[pa.RecordBatch], w: Windows, slop: int) -> Iterator[pa.RecordBatch]:
@@ -129,8 +129,7 @@ def match_batches(batches: Iterator[pa.RecordBatch], w: Windows, slop: int) -> I
             taken = np.repeat(term_at[ours] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
             postings = place[ours], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), positions[taken]
 
-            def items(win: np.ndarray, begin: np.ndarray) -> list[list[str | None]]:
-                doc = np.searchsorted(starts, begin, "right") - 1  # noqa: B023
+            def items(win: np.ndarray, doc: np.ndarray) -> list[list[str | None]]:
                 n = w.item_at[win + 1] - w.item_at[win]
                 item = w.item[np.repeat(w.item_at[win] - np.cumsum(n) + n, n) + np.arange(n.sum())]
                 pairs = np.unique(np.repeat(doc, n) * len(w.names) + item)
@@ -139,7 +138,7 @@ def match_batches(batches: Iterator[pa.RecordBatch], w: Windows, slop: int) -> I
                     out[p // len(w.names)].append(w.names[p % len(w.names)])
                 return out
 
-            win, begin = intersect(w, *postings, starts)
+            win, begin, doc = intersect(w, *postings, starts)
             edge = np.zeros(int(starts[-1]) + 1, np.int64)
             np.add.at(edge, begin, 1)
             np.add.at(edge, begin + w.lengths[win], -1)
@@ -150,8 +149,8 @@ def match_batches(batches: Iterator[pa.RecordBatch], w: Windows, slop: int) -> I
             at = np.searchsorted(first, starts)
             base = np.repeat(starts[:-1], np.diff(at))
             hits = pa.StructArray.from_arrays([pa.array(x - base, pa.int32()) for x in (first, last)], names=["a", "b"])
-            exact = items(win, begin)
-            near = items(*_inside(*intersect(w, *postings, starts, slop), starts)) if slop else exact
+            exact = items(win, doc)
+            near = items(*intersect(w, *postings, starts, slop)[::2]) if slop else exact
             yield pa.RecordBatch.from_arrays([
                 pa.array([batch.column(0)[k].as_py()] * len(ids), pa.string()),
                 pa.array(np.arange(len(ids)), pa.int32()),
@@ -163,11 +162,6 @@ def match_batches(batches: Iterator[pa.RecordBatch], w: Windows, slop: int) -> I
             ], names=["shard", "row", "id", "n_words", "hits", "items", "near_items"])
 
 
-def _inside(win: np.ndarray, begin: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """With slop a match may seem to begin before its document; a word that it surely has stands for it."""
-    return win, np.clip(begin, 0, max(int(starts[-1]) - 1, 0))
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Which documents hold windows of benchmark items: runs of `size` words, or all words of a shorter item.
 

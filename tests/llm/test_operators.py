@@ -264,6 +264,13 @@ def test_decontamination_by_items_without_id(spark):
         assert got == {1: (3, [None]), 2: (2, ["7"]), 3: (5, ["7", None]), 4: (0, [])}
 
 
+def test_proximity_in_the_second_document_of_a_shard(spark):
+    docs = spark.createDataFrame([(1, "one three four"), (2, "two one three four"), (3, "one three"), (4, "")], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(2, "one two three four")], "item_id long, text string")
+    got = {r.id: list(r.near_items) for r in contamination(docs, bench, slop=2).collect()}  # "two" is the rarest word
+    assert got == {1: [], 2: ["2"], 3: [], 4: []}
+
+
 def test_mixing(docs):
     m = mixing.mixture(docs, block=8, shard=64)
     got = m.taken().collect()
