@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from quadweave.llm.shared import forget, written
 from quadweave.llm.words import SPACED_LOWER, Words, chunks, mix, mixed
 
-#: Most frequent words, whose counts and context weights are sent to all tasks; those of others are looked up in the tables'
-#: partitions, so that the model does not depend on it. Counts above DISCOUNTED are reliable.
+#: Frequent words, at most, whose counts and context weights are sent to all tasks; those of others are looked up in the
+#: tables' partitions, so that the model does not depend on it. Counts above DISCOUNTED are reliable.
 VOCABULARY, DISCOUNTED = 65_000, 5
-#: Most frequent bigrams whose counts are sent to all tasks; others are looked up in the table's partitions.
+#: Common bigrams, at most, whose counts are sent to all tasks; others are looked up in the table's partitions.
 COMMON = 65_000
+#: Steps of a doubling of counts: frequent words and common bigrams are those above a step, found from numbers per step.
+STEPS = 8
 #: Tokens that one partition of the bigram table stands for; bytes of text handled at once.
 PARTITION_TOKENS, RUN_BYTES = 1_500_000, 4 << 20
 START, END, FIRST = 0, 1, 2
@@ -38,6 +40,22 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return d
 
 
+def least_count(numbers: dict[int, int], most: int) -> int:
+    """The lowest step such that no more than `most` items lie in it and above; numbers: items by step. The driver so picks
+    the most frequent of any number of items from a few hundred numbers."""
+    low = max(numbers, default=0) + 1
+    for step in sorted(numbers, reverse=True):
+        most -= numbers[step]
+        if most < 0:
+            break
+        low = step
+    return low
+
+
+def steps(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(n) * STEPS).astype(np.int64)
+
+
 def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return c * np.where(c <= DISCOUNTED, d[np.minimum(c, DISCOUNTED)], 1.0)
 
@@ -177,14 +195,17 @@ def _bigram_blocks(model, parts: int):
 
 
 def _sum_blocks(table: pa.Table) -> pa.Table:
-    """Blocks of one partition -> its table: sorted bigrams with counts, and how many occur 1..DISCOUNTED + 1 times."""
+    """Blocks of one partition -> its table: sorted bigrams with counts, how many occur 1..DISCOUNTED + 1 times, and how many
+    of frequent words lie in each step."""
     v, n, w = (np.concatenate(x) for x in zip(*(unpack(b.as_py()) for b in table.column("block")), strict=True))
     order = np.lexsort((w, v))
     v, w = v[order], w[order]
     first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
     n = np.add.reduceat(n[order], first)
     few = np.bincount(np.minimum(n, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
-    return pa.table({"part": table.column("part").slice(0, 1), "block": pa.array([pack(v[first], n.astype(np.uint32), w[first])], pa.binary()), "few": pa.array([few.tolist()], pa.list_(pa.int64()))})
+    v, w = v[first], w[first]
+    by_step = np.bincount(steps(n[(v >= 0) & (w >= 0)]))
+    return pa.table({"part": table.column("part").slice(0, 1), "block": pa.array([pack(v, n.astype(np.uint32), w)], pa.binary()), **{k: pa.array([x.tolist()], pa.list_(pa.int64())) for k, x in (("few", few), ("by_step", by_step))}})
 
 
 def _rare_words(w: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -266,14 +287,15 @@ def _contexts(model):
     return run
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block in batch.column(0):
-            v, n, w, _ = unpack(block.as_py())
-            frequent = (v >= 0) & (w >= 0)
-            keys, n = v[frequent] << 32 | w[frequent], n[frequent]
-            high = np.argsort(-n, kind="stable")[:COMMON]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[high]), pa.array(n[high])], names=["key", "n"])
+def _common(low: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column(0):
+                v, n, w, _ = unpack(block.as_py())
+                high = (v >= 0) & (w >= 0) & (steps(n) >= low)
+                yield pa.RecordBatch.from_arrays([pa.array(v[high] << 32 | w[high]), pa.array(n[high])], names=["key", "n"])
+
+    return run
 
 
 SCORED = "uid long, id long, n_tokens long, n_known long, base double, score double, asks boolean, part int, block binary"
@@ -403,7 +425,9 @@ class Katz:
         few = {r[0]: (r[1], r[2]) for r in self.words.groupBy(F.least("n", F.lit(DISCOUNTED + 2)).alias("n")).agg(F.count("*"), F.sum("n")).collect()}
         total, types = sum(x[1] for x in few.values()), sum(x[0] for x in few.values())
         d1 = discounts(np.array([0, *(few.get(r, (0, 0))[0] for r in range(1, DISCOUNTED + 2))], float))
-        top = self.words.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
+        step = F.floor(F.log2("n") * STEPS)
+        low = least_count(dict(tuple(r) for r in self.words.groupBy(step.alias("step")).count().collect()), vocabulary)
+        top = self.words.filter(step >= low).orderBy(F.desc("n"), "word").collect()  # no more than `vocabulary`
         end = self.words.filter(F.col("word") == int(END_HASH.view(np.int64))).collect()
         ranked = [(int(END_HASH), end[0][1] if end else 0)] + [(r[0] & ((1 << 64) - 1), r[1]) for r in top if r[0] & ((1 << 64) - 1) != int(END_HASH)]
         ids = np.array([END, *range(FIRST, FIRST + len(ranked) - 1)], np.int64)
@@ -424,7 +448,8 @@ class Katz:
         self.parts = max(12, total // PARTITION_TOKENS)
         sent = spark.sparkContext.broadcast(model)
         blocks = text.mapInArrow(_bigram_blocks(sent, self.parts), "part int, block binary")
-        counts = written(blocks.repartition(self.parts, "part").groupBy("part").applyInArrow(_sum_blocks, "part int, block binary, few array<long>"), "counts")
+        counts = written(blocks.repartition(self.parts, "part").groupBy("part").applyInArrow(_sum_blocks, "part int, block binary, few array<long>, by_step array<long>"), "counts")
+        low = least_count({r[0]: r[1] for r in counts.select(F.posexplode("by_step")).groupBy("pos").agg(F.sum("col")).collect()}, COMMON)
         counted = counts.agg(*(F.sum(F.get("few", F.lit(i))) for i in range(DISCOUNTED + 1))).first()
         model.d2 = discounts(np.array([0, *(x or 0 for x in counted)], float))
         asked = counts.select("part", "block").mapInArrow(_ask_counts(self.parts), "part int, home int, block binary")
@@ -437,7 +462,7 @@ class Katz:
         sums = self.table.select("block").mapInArrow(_contexts(sent), "v long, n double, kept double, unigram double")
         for v, c, kept_, unigram in sums.groupBy("v").agg(F.sum("n"), F.sum("kept"), F.sum("unigram")).collect():  # a row per id at most
             model.seen[v], model.back[v] = weights(c, kept_, unigram)
-        common = self.table.select("block").mapInArrow(_common, "key long, n long").orderBy(F.desc("n"), "key").limit(COMMON).collect()
+        common = self.table.select("block").mapInArrow(_common(low), "key long, n long").collect()  # no more than COMMON
         common.sort()
         model.common, model.common_counts = (np.array([r[i] for r in common], np.int64) for i in (0, 1))
         self.model = model

@@ -116,8 +116,9 @@ def test_circulant_signature_estimates_similarity():
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 50), (50, 75), (7, 7), (None, 3)] + [(200, x) for x in range(201, 230)]
+    edges += [(5000, x) for x in range(4000, 4600)] + [(3999, x) for x in range(4300, 4310)]  # hubs at either end
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys((50, 75, 100), 50), **dict.fromkeys(range(200, 230), 200)}
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys((50, 75, 100), 50), **dict.fromkeys(range(200, 230), 200), **dict.fromkeys([3999, *range(4000, 4600), 5000], 3999)}
 
 
 def test_index_counts():
@@ -219,6 +220,21 @@ def test_katz(docs, spark):
     assert len(none) == len(got) and all(r.n_known == 0 and math.isfinite(r.score) for r in none)
 
 
+def test_least_count_keeps_to_its_bound():
+    assert lm.least_count({0: 900, 8: 50, 16: 30, 40: 2}, 100) == 8
+    assert lm.least_count({0: 900, 8: 50, 16: 30, 40: 2}, 81) == 16
+    assert lm.least_count({5: 9}, 8) == 6 and lm.least_count({}, 5) == 1
+    assert lm.steps(np.array([1, 2, 3, 4, 1000])).tolist() == [0, 8, 12, 16, 79]
+
+
+def test_katz_gives_rows_of_ties_repeats_and_null_ids_alike(docs, spark):
+    odd = docs.select("doc_id", "text").union(spark.createDataFrame([(None, "one two"), (None, "one two"), (5, None)], "doc_id long, text string"))
+    got = lm.Katz(docs.select("text"), vocabulary=30).score(odd.repartition(7)).collect()
+    assert len(got) == docs.count() + 3 and sum(r.id is None for r in got) == 2
+    by_text = {r.id: r.score for r in got}
+    assert len({r.score for r in got if r.id is None}) == 1 and math.isclose(by_text[100], by_text[101], rel_tol=1e-12) == (corpus()[100][1] == corpus()[101][1])
+
+
 def test_katz_of_rare_words(docs):
     rows = [r for r in corpus() if zlib.crc32(str(r[0]).encode()) % 10]
     words = {r[0]: words_of(lower(r[1])) for r in corpus()}
@@ -386,7 +402,7 @@ def test_warc(spark):
     got = {(r.id, r.status, r.shard) for r in warc.audit(ours, warc.leaves(theirs)).collect()}
     assert got == {(77, "altered", 0), (5000, "missing", 1), (20000, "extra", 4)}
     assert warc.audit(ours, ours).count() == 0 and warc.audit(ours.filter("false"), ours.filter("false")).count() == 0
-    assert [t.filter("shard = 0").count() for t in warc.tree(ours)] == [256, 16, 1]
+    assert [t.filter("shard = 0").count() for t in warc.tree(ours.withColumn("side", F.lit(0)))] == [256, 16, 1]
     records = [r[0] for r in pages.filter("page_id < 20").orderBy("page_id").select(warc.record(F.col("page_id"), F.col("url"), F.col("html"))).collect()]
     data = "".join(records).encode()
     parsed = list(warc.parse(data))
@@ -395,6 +411,30 @@ def test_warc(spark):
         list(warc.parse(data[:-3]))
 
 
+def test_warc_pairs_records_of_one_id(spark):
+    schema = "page_id long, url string, html string, shard string, side string, digest string"
+    row = lambda i, body: (i, "u", body, "clash", "clash", "clash")
+    long = "x" * 300_000
+    left = [row(1, "a"), row(1, "b"), row(1, "same"), row(2, "c"), row(2, "d"), row(2, "e"), row(3, long), row(4, "twice"), row(4, "twice"), row(5, None), row(6, ""), row(-9, "below")]
+    right = [row(1, "A"), row(1, "B"), row(1, "same"), row(2, "C"), row(3, long + "y"), row(4, "twice"), row(5, ""), row(6, ""), row(-9, "below")]
+    left += [row(None, t) for t in "wxyz"] + [row(None, "kept")] * 2
+    right += [row(None, t) for t in "WXYZ"] + [row(None, "kept")] * 2
+    ours, theirs = (warc.leaves(spark.createDataFrame(x, schema)) for x in (left, right))
+    found = warc.audit(ours, theirs).collect()
+    got = collections.Counter((r.id, r.status) for r in found)
+    assert got == {(1, "altered"): 2, (2, "altered"): 1, (2, "missing"): 2, (3, "altered"): 1, (4, "altered"): 1, (None, "missing"): 4, (None, "extra"): 4}
+    place = lambda t, i: len(f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: u\r\nWARC-Record-ID: <urn:record:{i}>\r\nContent-Length: {len(t)}\r\n\r\n{t}\r\n\r\n")
+    assert next(r.length for r in found if r.id == 3) == place(long, 3)
+    assert next(r.first_byte for r in found if r.id == 3) == sum(place(t, i) for i, t in [(1, "a"), (1, "b"), (1, "same"), (2, "c"), (2, "d"), (2, "e")])
+
+
+def test_warc_many_records_of_one_id(spark):
+    many = spark.range(3000).selectExpr("cast(if(id < 2000, 7, null) as long) page_id", "'u' url", "cast(id as string) html")
+    less = many.filter("html not in ('5', '2500')")
+    got = sorted(((r.id, r.status) for r in warc.audit(warc.leaves(many), warc.leaves(less)).collect()), key=str)
+    assert got == [(7, "missing"), (None, "missing")]
+
+
 def test_words():
     texts = ["One two", None, "", "été\x0bDEUX", "x" * 3_000_000 + " y", "a"]
     found = [f for _, f in chunks(pa.array(texts), SPACED)]
