@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -298,19 +298,21 @@ def _common(low: int):
     return run
 
 
-SCORED = "uid long, id long, n_tokens long, n_known long, base double, score double, asks boolean, part int, block binary"
+#: What is known of a run of texts: own sums (a row a run), or a block of bigrams to look up.
+ASKED = "run long, part int, block binary, own binary"
 
 
 def _score_runs(model, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, text) -> a row per text with what the model alone tells, and blocks of bigrams to look up: all that follow a
-        rare word, and those after frequent words that are not common. A block holds distinct bigrams, how often each
-        occurs, and the texts it occurs in."""
-        m = model.value
+        """(id, text) -> for each run of texts a row with what the model alone tells of each, and blocks of bigrams to look
+        up: all that follow a rare word, and those after frequent words that are not common. A block holds distinct bigrams,
+        how often each occurs, and the texts it occurs in. A run's number comes from its place in the input, so that a task
+        that is repeated gives it again."""
+        m, number = model.value, TaskContext.get().partitionId() << 32
         for batch in batches:
             for rows, found in chunks(batch.column(1), SPACED_LOWER, RUN_BYTES):
                 docs = rows.stop - rows.start
-                first = uuid.uuid4().int >> 66 & ~0xFFFFF
+                number += 1
                 h, at = with_ends(found)
                 doc = np.repeat(np.arange(docs), np.diff(at))
                 w, c = m.codes(h)
@@ -322,13 +324,10 @@ def _score_runs(model, parts: int):
                 known = w >= 0
                 lp = np.where(known, np.log10(m.p1[np.maximum(w, 0)]), 0.0) + np.where(v >= 0, np.log10(m.back[np.maximum(v, 0)]), 0.0)
                 lp[near] = np.log10(discounted(m.common_counts[place[near]], m.d2) * m.seen[v[near]])
-                columns = [np.bincount(doc, x, docs) for x in (known & (c > 0), np.where(known, m.base(c), 0.0), lp)]
-                n = docs
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(first + np.arange(docs)), batch.column(0).slice(rows.start, docs), pa.array(np.diff(at), pa.int64()),
-                    pa.array(columns[0].astype(np.int64)), pa.array(columns[1]), pa.array(columns[2]),
-                    pa.array(np.zeros(n, bool)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
-                ], names=[x.split()[0] for x in SCORED.split(", ")])
+                sums = [np.bincount(doc, x, docs) for x in (known & (c > 0), np.where(known, m.base(c), 0.0), lp)]
+                ids = batch.column(0).slice(rows.start, docs)
+                own = [np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0)), np.diff(at), *(x.view(np.int64) for x in sums)]
+                own = np.stack([x.astype(np.int64) for x in own]).tobytes()
                 v, w, doc = v[~near], w[~near], doc[~near]
                 u, pair = pair_ids(v, w)
                 pair, at, often = np.unique(pair, return_inverse=True, return_counts=True)
@@ -345,16 +344,17 @@ def _score_runs(model, parts: int):
                 blocks = [pack(*(c[edges[p] : edges[p + 1]] for c in (v, often, w)), of[ends[edges[p]] : ends[edges[p + 1]]]) for p in some]
                 n = len(some)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(n, first), pa.int64()), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())),
-                    pa.array(np.ones(n, bool)), pa.array(some, pa.int32()), pa.array(blocks, pa.binary()),
-                ], names=[x.split()[0] for x in SCORED.split(", ")])
+                    pa.array(np.full(n + 1, number), pa.int64()), pa.array([number % parts, *some], pa.int32()),
+                    pa.array([None, *blocks], pa.binary()), pa.array([own] + [None] * n, pa.binary()),
+                ], names=["run", "part", "block", "own"])
 
     return run
 
 
 def _look_up(model):
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
-        """Blocks of one partition against its table -> what they add to the texts of each run: n_known, base, score."""
+        """Blocks of one partition against its table -> what they add to the texts of each run: n_known, base, score. Runs' own
+        sums pass through."""
         m = model.value
         tables = [unpack(b) for b in _blocks(known)] or [[np.zeros(0, np.int64)] * 4]
         v, n, w, c = tables[0]  # a table per partition
@@ -367,7 +367,10 @@ def _look_up(model):
         keys = of_head * len(words) + np.searchsorted(words, w)
         gains = np.log10(discounted(n, m.d2) * seen[of_head]) - np.log10(back[of_head]) - p
         out: dict[int, list[np.ndarray]] = {}
-        for uid, block in zip(*(asked.column(c) for c in ("uid", "block")), strict=True):
+        asks = [r for r in zip(*(asked.column(c) for c in ("run", "block", "own")), strict=True)] if asked.num_rows else []
+        for number, block, own in asks:
+            if own.is_valid:
+                continue
             v, often, w, of = unpack(block.as_py())
             gain, c = np.zeros(len(v)), np.zeros(len(v), np.int64)
             if len(keys):
@@ -383,19 +386,23 @@ def _look_up(model):
             known_, base = (v < 0) & (c > 0), np.where(v < 0, m.base(c), 0.0)
             docs, where = np.unique(of, return_inverse=True)
             sums = [np.bincount(where, np.repeat(x, often), len(docs)) for x in (known_, base, gain)]
-            out.setdefault(uid.as_py(), []).append(np.stack([docs.astype(float), *sums]))
-        rows = [np.concatenate(x, axis=1).tobytes() for x in out.values()]
-        return pa.table({"uid": pa.array(list(out), pa.int64()), "sums": pa.array(rows, pa.binary())})
+            out.setdefault(number.as_py(), []).append(np.stack([docs.astype(float), *sums]))
+        rows = [(k, np.concatenate(x, axis=1).tobytes(), None) for k, x in out.items()] + [(r.as_py(), None, o.as_py()) for r, _, o in asks if o.is_valid]
+        return pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate((("run", pa.int64()), ("sums", pa.binary()), ("own", pa.binary())))})
 
     return run
 
 
 def _sum_runs(table: pa.Table) -> pa.Table:
-    """All partitions' sums for one run of texts -> (uid, known, base, gain) per text."""
-    docs, *sums = np.concatenate([np.frombuffer(b.as_buffer()).reshape(4, -1) for b in table.column("sums")], axis=1)
-    some, where = np.unique(docs.astype(np.int64), return_inverse=True)
-    known, base, gain = (np.bincount(where, x, len(some)) for x in sums)
-    return pa.table({"uid": table.column("uid")[0].as_py() + some, "known": known.astype(np.int64), "base": base, "gain": gain})
+    """A run's own sums and what all partitions add to them -> a row per text."""
+    own = next(o.as_buffer() for o in table.column("own") if o.is_valid)
+    valid, ids, n_tokens, *sums = np.frombuffer(own, np.int64).reshape(6, -1)
+    sums = [x.view(np.float64) for x in sums]
+    more = [np.frombuffer(b.as_buffer()).reshape(4, -1) for b in table.column("sums") if b.is_valid]
+    if more:
+        docs, *added = np.concatenate(more, axis=1)
+        sums = [x + np.bincount(docs.astype(np.int64), y, len(x)) for x, y in zip(sums, added, strict=True)]
+    return pa.table({"id": pa.array(ids, mask=valid == 0), "n_tokens": n_tokens, "n_known": sums[0].astype(np.int64), "base": sums[1], "score": sums[2]})
 
 
 def _word_blocks(parts: int):
@@ -469,13 +476,10 @@ class Katz:
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Each whole text's log10 probability: id, n_tokens (words and one end), n_known (tokens of the training text),
-        base (smoothed unigrams) and score. Null and empty texts are one end. Rows that repeat an id are scored alone."""
+        base (smoothed unigrams) and score. Null and empty texts are one end. Rows that repeat an id are scored alone.
+        Runs of texts are numbered by their place, so docs should be a stored table, which a repeated task reads alike."""
         sent = self.spark.sparkContext.broadcast(self.model)
         base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        rows = written(base.mapInArrow(_score_runs(sent, self.parts), SCORED), "scored")
-        asked = rows.filter("asks").select("part", "uid", "block")
-        found = asked.groupBy("part").cogroup(self.table.groupBy("part")).applyInArrow(_look_up(sent), "uid long, sums binary")
-        sums = found.groupBy("uid").applyInArrow(_sum_runs, "uid long, known long, base double, gain double").withColumnRenamed("base", "more")
-        own = rows.filter("not asks").select("uid", "id", "n_tokens", "n_known", F.col("base").alias("own"), "score")
-        zero = F.lit(0.0)
-        return own.join(sums, "uid", "left").select("id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("own") + F.coalesce("more", zero)).alias("base"), (F.col("score") + F.coalesce("gain", zero)).alias("score"))
+        asked = base.mapInArrow(_score_runs(sent, self.parts), ASKED)
+        found = asked.groupBy("part").cogroup(self.table.groupBy("part")).applyInArrow(_look_up(sent), "run long, sums binary, own binary")
+        return found.groupBy("run").applyInArrow(_sum_runs, "id long, n_tokens long, n_known long, base double, score double")
