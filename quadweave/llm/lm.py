@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadweave.llm.shared import forget, written
+from quadweave.llm.shared import bucketed, forget, sweep, written
 from quadweave.llm.words import SPACED_LOWER, Words, chunks, mix, mixed
 
 #: Frequent words, at most, whose counts and context weights are sent to all tasks; those of others are looked up in the
@@ -385,9 +385,9 @@ def _look_up(model):
             gain += np.where(v < 0, m.word(c), 0.0)
             known_, base = (v < 0) & (c > 0), np.where(v < 0, m.base(c), 0.0)
             docs, where = np.unique(of, return_inverse=True)
-            sums = [np.bincount(where, np.repeat(x, often), len(docs)) for x in (known_, base, gain)]
-            out.setdefault(number.as_py(), []).append(np.stack([docs.astype(float), *sums]))
-        rows = [(k, np.concatenate(x, axis=1).tobytes(), None) for k, x in out.items()] + [(r.as_py(), None, o.as_py()) for r, _, o in asks if o.is_valid]
+            sums = [np.bincount(where, np.repeat(x, often), len(docs)).astype(float) for x in (known_, base, gain)]
+            out.setdefault(number.as_py(), []).append([docs, *(x.view(np.int64) for x in sums)])
+        rows = [(k, pack(*(np.concatenate(c) for c in zip(*x, strict=True))), None) for k, x in out.items()] + [(r.as_py(), None, o.as_py()) for r, _, o in asks if o.is_valid]
         return pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate((("run", pa.int64()), ("sums", pa.binary()), ("own", pa.binary())))})
 
     return run
@@ -398,10 +398,10 @@ def _sum_runs(table: pa.Table) -> pa.Table:
     own = next(o.as_buffer() for o in table.column("own") if o.is_valid)
     valid, ids, n_tokens, *sums = np.frombuffer(own, np.int64).reshape(6, -1)
     sums = [x.view(np.float64) for x in sums]
-    more = [np.frombuffer(b.as_buffer()).reshape(4, -1) for b in table.column("sums") if b.is_valid]
-    if more:
-        docs, *added = np.concatenate(more, axis=1)
-        sums = [x + np.bincount(docs.astype(np.int64), y, len(x)) for x, y in zip(sums, added, strict=True)]
+    for block in table.column("sums"):
+        if block.is_valid:
+            docs, *more = unpack(block.as_py())
+            sums = [x + np.bincount(docs, y.view(np.float64), len(x)) for x, y in zip(sums, more, strict=True)]
     return pa.table({"id": pa.array(ids, mask=valid == 0), "n_tokens": n_tokens, "n_known": sums[0].astype(np.int64), "base": sums[1], "score": sums[2]})
 
 
@@ -455,7 +455,9 @@ class Katz:
         self.parts = max(12, total // PARTITION_TOKENS)
         sent = spark.sparkContext.broadcast(model)
         blocks = text.mapInArrow(_bigram_blocks(sent, self.parts), "part int, block binary")
-        counts = written(blocks.repartition(self.parts, "part").groupBy("part").applyInArrow(_sum_blocks, "part int, block binary, few array<long>, by_step array<long>"), "counts")
+        summed = blocks.repartition(self.parts, "part").groupBy("part").applyInArrow(_sum_blocks, "part int, block binary, few array<long>, by_step array<long>")
+        counts = bucketed(summed, "counts", "part", self.parts)
+        sweep(spark)
         low = least_count({r[0]: r[1] for r in counts.select(F.posexplode("by_step")).groupBy("pos").agg(F.sum("col")).collect()}, COMMON)
         counted = counts.agg(*(F.sum(F.get("few", F.lit(i))) for i in range(DISCOUNTED + 1))).first()
         model.d2 = discounts(np.array([0, *(x or 0 for x in counted)], float))
@@ -463,8 +465,9 @@ class Katz:
         known = self.words.mapInArrow(_word_blocks(self.parts), "part int, block binary")
         told = asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_tell_counts, "home int, part int, block binary")
         full = told.groupBy("home").cogroup(counts.select("part", "block").groupBy("part")).applyInArrow(_with_counts(self.parts), "part int, block binary")
-        self.table = written(full, "bigrams")
+        self.table = bucketed(full, "bigrams", "part", self.parts)
         forget(counts)
+        sweep(spark)
         sent = spark.sparkContext.broadcast(model)
         sums = self.table.select("block").mapInArrow(_contexts(sent), "v long, n double, kept double, unigram double")
         for v, c, kept_, unigram in sums.groupBy("v").agg(F.sum("n"), F.sum("kept"), F.sum("unigram")).collect():  # a row per id at most

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,9 +45,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """df as a table in the shared folder, in buckets by column, so that joins and cogroups on it need no shuffle of this side.
+    Its name is in the session's catalog until forget()."""
+    key = f"quadweave_{name}_{uuid.uuid4().hex}"
+    path = f"{folder(df.sparkSession).rstrip('/')}/quadweave/{key}"
+    df.write.bucketBy(buckets, column).option("path", path).saveAsTable(key)
+    out = df.sparkSession.table(key)
+    out.shared_path, out.shared_name = path, key
+    return out
+
+
+def sweep(spark: SparkSession) -> None:
+    """Has the driver's JVM collect its garbage: Spark then removes the shuffle files of finished jobs from all executors."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def forget(df: DataFrame) -> None:
-    """Deletes a written() table that nothing reads any more."""
+    """Deletes a written() or bucketed() table that nothing reads any more."""
     jvm = df.sparkSession._jvm
+    if name := getattr(df, "shared_name", ""):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     path = jvm.org.apache.hadoop.fs.Path(df.shared_path)
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
