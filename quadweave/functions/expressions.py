@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quadweave.errors import UnsupportedQuery
 from quadweave.plans.algebra import Expr
-from quadweave.terms import INTEGER_IRIS, LANG_STRING, NUMERIC_IRIS, XSD, Literal, Val, boolean, constant, make, null, number, number_of, instant_of, same, string
+from quadweave.terms import EXACT, INTEGER_IRIS, LANG_STRING, NUMERIC_IRIS, XSD, Literal, Val, boolean, constant, digits, make, null, number, number_of, instant_of, same, string
 
 _FN = "http://www.w3.org/2005/xpath-functions#"
 # The XPath names of string functions, and the SPARQL functions they stand for.
@@ -35,6 +35,15 @@ def _both(a: Val, b: Val, datatype: str) -> Column:
     return (a.d == datatype) & (b.d == datatype)
 
 
+def compared(a: Val, b: Val, f: Callable[[Column, Column], Column]) -> Column:
+    """f of two numbers; of integers beyond what doubles hold, with all their digits."""
+    if a.small or b.small:
+        return f(a.n, b.n)
+    x, y = digits(a), digits(b)
+    large = (F.abs(a.n) >= EXACT) & (F.abs(b.n) >= EXACT) & x.isNotNull() & y.isNotNull()
+    return F.when(large, f(x, y)).otherwise(f(a.n, b.n))
+
+
 def equal(a: Val, b: Val) -> Column:
     """= by value: numbers and instants by what they mean; unlike literals that may be equal are an error (null)."""
     numbers = a.n.isNotNull() & b.n.isNotNull()
@@ -42,7 +51,7 @@ def equal(a: Val, b: Val) -> Column:
     plain = (a.k != "literal") | (b.k != "literal") | ((known == F.coalesce(b.d, F.lit(""))) & known.isin("", LANG_STRING))
     return (
         F.when(a.v.isNull() | b.v.isNull(), F.lit(None).cast("boolean"))
-        .when(numbers, (a.n == b.n) & ~F.isnan(a.n))
+        .when(numbers, compared(a, b, lambda x, y: x == y) & ~F.isnan(a.n))
         .when(a.t.isNotNull() & b.t.isNotNull(), a.t == b.t)
         .when(_both(a, b, XSD + "boolean"), a.v.isin("true", "1") == b.v.isin("true", "1"))
         .when(same(a, b), True)
@@ -57,14 +66,17 @@ def _static(v: Val, what: str) -> bool:
 def less(a: Val, b: Val, op: str) -> Column:
     """Orders numbers, instants, booleans and plain strings; other pairs are an error."""
     f = {"<": lambda x, y: x < y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, ">=": lambda x, y: x >= y}[op]
-    if _static(a, "n") or _static(b, "n"):
-        return f(a.n, b.n)
+    if a.small or b.small:  # a constant that doubles hold
+        if _static(a, "n") or _static(b, "n"):
+            return f(a.n, b.n)
+    elif _static(a, "n") or _static(b, "n"):
+        return compared(a, b, f)
     if _static(a, "t") or _static(b, "t"):
         return f(a.t, b.t)
     numbers = a.n.isNotNull() & b.n.isNotNull()
     text = (a.k == "literal") & (b.k == "literal") & a.d.isNull() & b.d.isNull() & a.l.eqNullSafe(b.l)
     flags = _both(a, b, XSD + "boolean")
-    return F.when(numbers, f(a.n, b.n) & ~F.isnan(a.n) & ~F.isnan(b.n)).when(a.t.isNotNull() & b.t.isNotNull(), f(a.t, b.t)).when(text, f(a.v, b.v)).when(flags, f(a.v.isin("true", "1").cast("int"), b.v.isin("true", "1").cast("int")))
+    return F.when(numbers, compared(a, b, f) & ~F.isnan(a.n) & ~F.isnan(b.n)).when(a.t.isNotNull() & b.t.isNotNull(), f(a.t, b.t)).when(text, f(a.v, b.v)).when(flags, f(a.v.isin("true", "1").cast("int"), b.v.isin("true", "1").cast("int")))
 
 
 def _promoted(a: Val, b: Val, division: bool = False) -> Column:
@@ -77,7 +89,11 @@ def _promoted(a: Val, b: Val, division: bool = False) -> Column:
 
 def arithmetic(op: str, a: Val, b: Val) -> Val:
     n = {"+": a.n + b.n, "-": a.n - b.n, "*": a.n * b.n, "/": F.when(b.n != 0, a.n / F.when(b.n != 0, b.n))}[op]
-    return number(n, _promoted(a, b, op == "/"))
+    d = _promoted(a, b, op == "/")
+    if op == "/":
+        return number(n, d)
+    f = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op]
+    return number(n, d, F.when(F.abs(n) >= EXACT, f(digits(a), digits(b))))
 
 
 def _text(v: Val) -> Column:
@@ -89,6 +105,12 @@ def _like(v: Val, text: Column) -> Val:
     return make("literal", text, None, F.when(text.isNotNull(), v.l))
 
 
+def _found(a: Val, b: Val, part: Callable[[Column], Column]) -> Val:
+    """What part() takes of a by the place of b in it; the empty string, without a language, where b does not occur."""
+    at = F.call_function("locate", _text(b), _text(a), F.lit(1))
+    return make("literal", F.when(at > 0, part(at)).when(at == 0, ""), None, F.when(at > 0, a.l))
+
+
 def _pick(cases: list[tuple[Column | None, Val]]) -> Val:
     """The Val of the first case whose condition holds; a condition of None always does."""
     def field(f: str) -> Column:
@@ -180,10 +202,9 @@ def call(name: str, args: list[Expr], scope: Scope, base: str = "") -> Val:  # n
     if name in ("CONTAINS", "STRSTARTS", "STRENDS"):
         return boolean({"CONTAINS": F.contains, "STRSTARTS": F.startswith, "STRENDS": F.endswith}[name](_text(a), _text(b)))
     if name == "STRBEFORE":
-        return _like(a, F.when(F.contains(_text(a), b.v), F.substring_index(a.v, _constant_text(args[1]), 1)).otherwise(F.when(_text(a).isNotNull(), "")))
+        return _found(a, b, lambda at: F.substr(a.v, F.lit(1), at - 1))
     if name == "STRAFTER":
-        at = F.locate(_constant_text(args[1]), _text(a))
-        return _like(a, F.when(at > 0, F.substr(a.v, at + F.length(b.v))).otherwise(F.when(_text(a).isNotNull(), "")))
+        return _found(a, b, lambda at: F.substr(a.v, at + F.length(b.v)))
     if name == "ENCODE_FOR_URI":
         return string(F.replace(F.replace(F.url_encode(_text(a)), F.lit("+"), F.lit("%20")), F.lit("%7E"), F.lit("~")))
     if name == "STRDT":
@@ -272,7 +293,7 @@ def compile_expr(e: Expr, scope: Scope, base: str = "") -> Val:
     if e.op in ("=", "!="):
         n = _static(a, "n") and (e.args[1].op == "term") and b.n is not None and isinstance(e.args[1].args[0], Literal) and e.args[1].args[0].datatype in NUMERIC_IRIS
         plain = _static(a, "v") and e.args[1].op == "term" and isinstance(e.args[1].args[0], Literal) and e.args[1].args[0].datatype is None and e.args[1].args[0].lang is None
-        q = a.n == b.n if n else a.v == b.v if plain else equal(a, b)
+        q = a.n == b.n if n and b.small else a.v == b.v if plain else equal(a, b)
         return boolean(q if e.op == "=" else ~q)
     if e.op in ("<", ">", "<=", ">="):
         return boolean(less(a, b, e.op))

@@ -70,6 +70,7 @@ class Val:
     b: Column | None = None
     r: Column | None = None
     template: str | None = None
+    small: bool = False  # a constant number that a double holds exactly
 
     def columns(self, name: str) -> list[Column]:
         out = [getattr(self, f).cast(TYPES[f]).alias(f"{name}__{f}") for f in FIELDS]
@@ -110,6 +111,7 @@ def constant(term) -> Val:
     if term.datatype == XSD + "dateTime":
         t = F.try_to_timestamp(F.lit(term.value))
     out = make("literal", F.lit(term.value), term.datatype, term.lang, n, t)
+    out.small = n is not None and abs(float(term.value)) < EXACT
     if term.datatype == XSD + "boolean" and term.value in ("true", "false", "1", "0"):
         out.b = F.lit(term.value in ("true", "1"))
     return out
@@ -125,11 +127,21 @@ def boolean(b: Column) -> Val:
     return out
 
 
-def number(n: Column, d) -> Val:
-    """A computed number of datatype d; integers are written without a fraction."""
+#: From here on doubles no longer tell neighbouring integers apart.
+EXACT = float(2**53)
+
+
+def digits(v: Val) -> Column:
+    """The value of an integer literal with all its digits (38 at most); null of anything else."""
+    return F.when(v.d.isin(INTEGER_IRIS), v.v.try_cast("decimal(38,0)"))
+
+
+def number(n: Column, d, exact: Column | None = None) -> Val:
+    """A computed number of datatype d; integers are written without a fraction, from exact where that is not null."""
     d = d if isinstance(d, Column) else F.lit(XSD + d)
     whole = d.isin(INTEGER_IRIS) | ((d == XSD + "decimal") & (n == F.floor(n)) & (F.abs(n) < 1e15))
     v = F.when(whole, n.cast("decimal(38,0)").cast("string")).otherwise(n.cast("string"))
+    v = v if exact is None else F.coalesce(exact.cast("string"), v)
     return make("literal", v, F.when(n.isNotNull(), d), None, n)
 
 
