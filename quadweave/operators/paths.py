@@ -5,36 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadweave.storage import cut
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in the shared checkpoint folder where there is one, else in the warehouse."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return df.checkpoint()
+#: Rounds of a closure that add one step each before lengths double, and rounds whose pairs are merged into one table.
+LINEAR, MERGED = 6, 12
 
 
 def reachable(step: DataFrame, op: str, nodes: DataFrame | None, start: Column | None, goal: Column | None) -> DataFrame:
     """Distinct pairs (a, b) joined by the steps: op is opt (0 or 1), star (0 or more) or plus (1 or more).
 
-    Semi-naive: each round extends only pairs that are new, until there are none: a round per step of the longest of the
-    shortest paths. A known start or goal keeps the search to what it reaches."""
+    Semi-naive: each round extends only pairs that are new, until there are none. Without a known end, rounds after the
+    first LINEAR extend them by all pairs found so far, which doubles the length, so that long chains take few rounds. A
+    known start or goal keeps the search to what it reaches. A round writes its new pairs only."""
     zero = nodes.select("a", F.col("a").alias("b")) if nodes is not None else None
     if op == "opt":
         return step.union(zero).distinct()
-    step = _cut(step)
+    step = cut(step)
     backward = start is None and goal is not None
     walk = step.select(F.col("b").alias("a"), F.col("a").alias("b")) if backward else step
     first = goal if backward else start
-    new = walk if first is None else walk.filter(F.col("a") == first)
-    found = new = _cut(new)
+    found = new = walk if first is None else cut(walk.filter(F.col("a") == first))
     edges = walk.select(F.col("a").alias("via"), F.col("b").alias("to"))
-    while True:
-        ahead = new.join(edges, F.col("b") == F.col("via")).select("a", F.col("to").alias("b")).distinct()
-        new = _cut(ahead.join(found, ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            break
-        found = _cut(found.union(new))
+    n = 0
+    while not new.isEmpty():
+        n += 1
+        ahead = found.select(F.col("a").alias("via"), F.col("b").alias("to")) if first is None and n > LINEAR else edges
+        pairs = new.join(ahead, F.col("b") == F.col("via")).select("a", F.col("to").alias("b")).distinct()
+        new = cut(pairs.join(found, ["a", "b"], "left_anti"))
+        found = found.union(new)
+        if n % MERGED == 0:  # the plan stays small however many rounds there are
+            found = cut(found)
     if backward:
         found = found.select(F.col("b").alias("a"), F.col("a").alias("b"))
     return found.union(zero).distinct() if zero is not None else found
@@ -64,5 +64,5 @@ def search_paths(edges: DataFrame, start: str, target: str | None = None, direct
         if target is not None:
             front = front.filter(F.element_at("nodes", -1) != target)
     ranked = found.select("nodes", F.transform("steps", lambda s: s["p"]).alias("predicates"), F.size("steps").alias("length")).orderBy("length", "nodes", "predicates")
-    rows = ranked.limit(most + 1)
-    return rows.limit(most), rows.count() > most
+    rows = cut(ranked.limit(most + 1))
+    return rows.orderBy("length", "nodes", "predicates").limit(most), rows.count() > most

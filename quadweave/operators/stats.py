@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadweave.storage import cut
 from quadweave.terms import LANG_STRING, TYPE, XSD
 
 
@@ -38,6 +39,17 @@ def explore(quads: DataFrame, kind: str, text: str = "", prefix: str = "", top:
     return df.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(top)
 
 
+def projection(quads: DataFrame, by: list[str]) -> DataFrame:
+    """Stored counts of quads by some of their slots (one to three of g, s, p, o)."""
+    return cut(quads.groupBy(*by).agg(F.count("*").alias("quads")))
+
+
+def refreshed(kept: DataFrame, quads: DataFrame, by: list[str], dirty: DataFrame) -> DataFrame:
+    """A projection after changes: only groups of the dirty graphs (column g, which `by` must hold) are counted again."""
+    new = quads.join(dirty, "g", "left_semi").groupBy(*by).agg(F.count("*").alias("quads"))
+    return cut(kept.join(dirty, "g", "left_anti").unionByName(new))
+
+
 def compound(quads: DataFrame, field: str, patterns: list) -> DataFrame:
     """Rows of several patterns (conditions on quads) that agree on one field and on the graph."""
     out = None
@@ -56,9 +68,14 @@ def attributes(quads: DataFrame, predicates: list[str], subjects: DataFrame | No
 
 
 def within_budget(entries: DataFrame, budget: int, size: str, order: list) -> DataFrame:
-    """Entries that fit a byte budget, the most recently used first; what comes after the budget is spent is left out."""
-    spent = F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return entries.withColumn("spent", spent).filter(F.col("spent") <= budget)
+    """Entries that fit a byte budget, the most recently used first; what comes after the budget is spent is left out.
+    Entries are sorted in ranges; sums of whole ranges, a row a partition, tell what is spent before each."""
+    laid = cut(entries.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()))
+    sums = laid.groupBy("range_").agg(F.sum(size).alias("n_"))  # a row a partition
+    ahead = sums.select("range_", F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead_")).filter(F.col("ahead_") <= budget)
+    spent = F.sum(size).over(Window.partitionBy("range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = laid.join(F.broadcast(ahead), "range_").withColumn("spent", F.col("ahead_") + spent)
+    return out.filter(F.col("spent") <= budget).select(*entries.columns, "spent")
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from quadweave.plans.algebra import Group, Update
 from quadweave.plans.parser import parse_update
 from quadweave.plans.translate import Rel, Translator
 from quadweave.sources.datasets import QUADS, QuadDataset
+from quadweave.storage import cut
 from quadweave.terms import Blank, Iri, Variable, constant
 
 KEY = ["g", "sk", "s", "p", "ok", "o", "od", "ol"]
@@ -24,11 +25,17 @@ def minus(quads: DataFrame, gone: DataFrame) -> DataFrame:
     return quads.alias("a").join(gone.select(*KEY).alias("b"), _same("a", "b"), "left_anti")
 
 
+def once(new: DataFrame) -> DataFrame:
+    """One row of each quad: that of the first source."""
+    first = F.row_number().over(Window.partitionBy(*KEY).orderBy("source"))
+    return new.withColumn("rank_", first).filter("rank_ = 1").drop("rank_")
+
+
 def insert(quads: DataFrame, new: DataFrame) -> DataFrame:
-    """Adds quads; of one with the same four terms the new row stays, with its source."""
-    both = quads.withColumn("new_", F.lit(0)).unionByName(new.withColumn("new_", F.lit(1)))
-    last = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("new_"), "source"))
-    return both.withColumn("rank_", last).filter("rank_ = 1").drop("rank_", "new_")
+    """Adds quads; of one with the same four terms the new row stays, with its source. Only the new ones are sorted out: what
+    is there is matched with them, by a broadcast where Spark finds them small."""
+    new = once(new)
+    return minus(quads, new).unionByName(new)
 
 
 def replace_source(quads: DataFrame, source: str, new: DataFrame) -> DataFrame:
@@ -44,9 +51,11 @@ def move_source(quads: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def apply_delta(quads: DataFrame, delta: DataFrame) -> DataFrame:
-    """delta: op (delete or insert) and a quad; deletes come first."""
-    columns = quads.columns
-    return insert(minus(quads, delta.filter("op = 'delete'")), delta.filter("op = 'insert'").select(*columns))
+    """delta: op (delete or insert) and a quad; deletes come first. The delta is made once, and one pass over the quads takes
+    out what it deletes and what it replaces."""
+    delta = cut(delta)
+    new = once(delta.filter("op = 'insert'").select(*quads.columns))
+    return minus(quads, delta.select(*KEY).distinct()).unionByName(new)
 
 
 def rewrite_terms(quads: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
@@ -127,6 +136,8 @@ def delta_of(spark, quads: DataFrame, u: Update) -> DataFrame:
         t = Translator(data, spark)
         rel = t.group(u.pattern or Group())
         default = u.with_graph or ""
+        if u.delete and u.insert:
+            rel = Rel(cut(rel.trimmed()), rel.vars)  # both templates read the same solutions
         gone = _filled(t, u.delete, rel, default) if u.delete else none
         new = _filled(t, u.insert, rel, default) if u.insert else none
     return gone.select(F.lit("delete").alias("op"), *quads.columns).union(new.select(F.lit("insert").alias("op"), *quads.columns))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quadweave.storage import group_of
 from quadweave.terms import FIELDS, NUMERIC_IRIS, RDF, TYPE, TYPES, XSD, Blank, Iri, Literal, Val, Variable, constant, instant_of, make, null, number_of, same
 
 #: Columns of a table of quads: graph IRI ('' is the default graph), subject, predicate, object, and source.
@@ -85,9 +86,13 @@ def literal_fields(v: Column, d: Column) -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class QuadDataset(Dataset):
-    """A DataFrame of QUADS; the same four terms count once, whatever their sources."""
+    """A DataFrame of QUADS; the same four terms count once, whatever their sources. unique: no four terms are in two rows, as
+    in a stored layout, so that a scan needs no shuffle to find the same ones. bag: nor are the triples of different graphs
+    the same."""
 
     quads: DataFrame = None
+    unique: bool = False
+    bag: bool = False
 
     def star(self, subject, pairs: list, graph) -> list[Matches]:
         return [self._match(subject, p, o, graph) for p, o in pairs]
@@ -122,10 +127,26 @@ class QuadDataset(Dataset):
                 df = df.filter(~v.v.isin([i.value for i in slot]))
             else:
                 df = df.filter(identical(v, slot))
+        merged = graph is None and (self.graphs == "union" or len(self.graphs or ()) > 1)  # an RDF merge: a triple counts once
+        if merged and not self.bag or not self.unique:
+            df = df.dropDuplicates([*([] if merged else ["g"]), "sk", "s", "p", "ok", "o", "od", "ol"])
         columns = [c for n, v in keep.items() for c in v.columns(n)]
         return Matches(df.select(*columns) if columns else df.select(F.lit(1).alias("one")), dict.fromkeys(keep, (None, None)))
 
 
+@dataclass(frozen=True)
+class StoredDataset(QuadDataset):
+    """Quads of a storage.Layout: a known predicate names the group of files that is read."""
+
+    unique: bool = True
+
+    def _match(self, s, p, o, graph) -> Matches:
+        if not isinstance(p, Iri):
+            return super()._match(s, p, o, graph)
+        own = self.quads.filter(F.col("pg") == group_of(F.lit(p.value)))
+        return QuadDataset._match(replace(self, quads=own), s, p, o, graph)
+
+
 def make_of(k: str, v: str) -> Val:
     return Val(F.col(k), F.col(v), null("d"), null("l"), null("n"), null("t"))
 
@@ -334,7 +355,7 @@ class RelationalDataset(Dataset):
             names = set(known) - {i.value for i in p}
         if names is not None and not names:
             return None
-        return QuadDataset(quads=self.quads_of(t, names), graphs="union")._match(subject, pair[0], pair[1], graph)
+        return QuadDataset(quads=self.quads_of(t, names), graphs="union", unique=True, bag=True)._match(subject, pair[0], pair[1], graph)
 
     def quads(self, *names: str) -> DataFrame:
         """The tables' quads as a DataFrame of QUADS."""
