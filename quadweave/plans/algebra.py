@@ -83,6 +83,16 @@ class VectorSearch:
     options: dict = field(default_factory=dict)
 
 
+@dataclass
+class PathSearch:
+    """Bounded paths as solutions: variables for nodes and predicates (joined by blanks) and length."""
+
+    start: str
+    variables: dict[str, str]
+    via: list[str] = field(default_factory=list)
+    options: dict = field(default_factory=dict)
+
+
 @dataclass
 class Expr:
     """op: var, term, call, or, and, not, compare and arithmetic signs, in, notin, exists, notexists, agg."""
@@ -144,7 +154,7 @@ def variables(node: Any) -> set[str]:
         return set(node.names)
     if isinstance(node, Bind):
         return {node.var} | variables(node.expr)
-    if isinstance(node, TextSearch | VectorSearch):
+    if isinstance(node, TextSearch | VectorSearch | PathSearch):
         return set(node.variables.values())
     if isinstance(node, Select):
         return {n for n, _ in node.projection} if node.projection else variables(node.pattern)

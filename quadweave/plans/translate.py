@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import combinations
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,9 +14,20 @@ from pyspark.sql import functions as F
 from quadweave.errors import UnsupportedQuery
 from quadweave.functions.expressions import compile_expr, condition
 from quadweave.operators import paths
-from quadweave.plans.algebra import BGP, Bind, Expr, Graph, Group, Minus, Optional, Path, Query, Select, TextSearch, Triple, Union, Values, VectorSearch, variables
+from quadweave.plans.algebra import BGP, Bind, Expr, Graph, Group, Minus, Optional, Path, PathSearch, Query, Select, TextSearch, Triple, Union, Values, VectorSearch, variables
 from quadweave.sources.datasets import Dataset
-from quadweave.terms import FIELDS, INTEGER_IRIS, TYPES, XSD, Blank, Iri, Val, Variable, constant, from_columns, identity, make, n_triples, null, number, order_keys, same, string
+from quadweave.terms import FIELDS, INTEGER_IRIS, TYPES, XSD, Blank, Iri, Val, Variable, constant, digits, from_columns, identity, make, n_triples, null, number, order_keys, same, string
+
+
+#: Shared variables that may be unbound, on either side, up to which an inner join is split by which of them are.
+SPLITS = 3
+#: Times that what is searched must be larger than the sources that are bound, for these to be looked up first.
+FEW = 4
+#: Predicates by which SPARQL text asks for a search, all with one blank node as subject: text, vector or from say what is
+#: looked for, options of the search take constants, and other names bind columns of its hits to variables.
+SEARCH = "urn:search:"
+# Names of the options and what each becomes.
+OPTIONS = {"limit": "limit", "offset": "offset", "perSource": "per_source", "sourcePrefix": "source_prefix", "metric": "metric", "threshold": "threshold", "depth": "depth", "direction": "direction", "to": "target"}
 
 
 @dataclass
@@ -31,6 +43,7 @@ class Info:
 class Rel:
     df: DataFrame
     vars: dict[str, Info] = field(default_factory=dict)
+    masks: list[frozenset[str]] | None = None  # sets of variables that are unbound together, where these are known
 
     def val(self, name: str) -> Val | None:
         if name not in self.vars:
@@ -86,8 +99,9 @@ class Translator:
     def join(self, a: Rel, b: Rel, how: str = "inner", on: list[Expr] = ()) -> Rel:  # noqa: B006
         """inner, left (OPTIONAL: the filters are part of the condition), semi and anti (EXISTS)."""
         if how == "inner" and not on:
-            if not a.vars and a.df.columns == ["one"] and getattr(a, "is_unit", False):
-                return b
+            loose = [(r, n) for n in b.vars if n in a.vars for r in (a, b) if not r.vars[n].certain]
+            if 0 < len(loose) <= SPLITS:
+                return self.union([self.join(x, y) for x in self.split(a, b) for y in self.split(b, a)])
         right, vals = _renamed(b, "R_")
         shared = [n for n in b.vars if n in a.vars]
         conds = [_compatible(a.val(n), a.vars[n], vals[n], b.vars[n]) for n in shared]
@@ -121,6 +135,18 @@ class Translator:
                 info[n] = Info(i.certain and how == "inner", i.template, i.static)
         return Rel(joined.select(*(out or [F.lit(1).alias("one")])), info)
 
+    def split(self, a: Rel, b: Rel) -> list[Rel]:
+        """a in parts by which of the variables it shares with b are unbound, so that each part joins by equality alone. In
+        a part a variable is either bound in all rows, or left out."""
+        names = [n for n in b.vars if n in a.vars and not a.vars[n].certain]
+        masks = [m & frozenset(names) for m in a.masks] if a.masks is not None else [frozenset(c) for k in range(len(names) + 1) for c in combinations(names, k)]
+        out = []
+        for mask in dict.fromkeys(masks):
+            cond = reduce(lambda x, y: x & y, (a.val(n).v.isNull() if n in mask else a.val(n).v.isNotNull() for n in names), F.lit(True))
+            info = {n: Info(True, i.template, i.static) if n in names else i for n, i in a.vars.items() if n not in mask}
+            out.append(Rel(a.df.filter(cond) if names else a.df, info))
+        return out
+
     def minus(self, a: Rel, b: Rel) -> Rel:
         """Rows of a that agree with no row of b on the variables both bind; without a shared bound one, a row stays."""
         shared = [n for n in a.vars if n in b.vars]
@@ -225,14 +251,15 @@ class Translator:
         return Rel(rel.df.select(*(cols or [F.lit(1).alias("one")])), {n: Info() for n in names})
 
     def ordered(self, parts: list[Rel]) -> Rel:
-        """Joins the parts, smallest first, and each next one connected to those before if any is."""
+        """Joins the parts: the largest is streamed, and the others are joined to it from the right, where Spark may broadcast
+        them, the smallest of those that are connected to what is joined already first."""
         if not parts:
             return self.unit()
         if len(parts) == 1:
             return parts[0]
-        size = [int(str(p.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for p in parts]
+        size = [bytes_of(p.df) for p in parts]
         left = sorted(range(len(parts)), key=lambda i: size[i])
-        out = parts[left.pop(0)]
+        out = parts[left.pop()]
         while left:
             i = next((i for i in left if set(parts[i].vars) & set(out.vars)), left[0])
             left.remove(i)
@@ -248,18 +275,28 @@ class Translator:
         """The group's elements joined in order, and its filters. Neighbouring patterns join as one BGP."""
         rel: Rel | None = None
         pending: list[Triple] = []
+        found: list = []  # searches come after the patterns around them, so that these may bind sources
 
         def flush() -> None:
             nonlocal rel, pending
             if pending:
-                part = self.bgp(pending, graph)
-                rel = part if rel is None else self.join(rel, part)
+                plain, asked = searches(pending)
+                if plain:
+                    part = self.bgp(plain, graph)
+                    rel = part if rel is None else self.join(rel, part)
+                found[:0] = asked
                 pending = []
+            for e in found:
+                rel = self.with_search(rel, e, graph)
+            found.clear()
 
         for e in g.elements:
             if isinstance(e, BGP):
                 pending += e.triples
                 continue
+            if isinstance(e, TextSearch | VectorSearch | PathSearch):
+                found.append(e)
+                continue
             flush()
             if isinstance(e, Optional):
                 left = rel or self.unit()
@@ -290,8 +327,6 @@ class Translator:
             return self.values(e)
         if isinstance(e, Select):
             return self.select(e, graph)
-        if isinstance(e, TextSearch | VectorSearch):
-            return self.search(e)
         raise UnsupportedQuery(type(e).__name__)
 
     def values(self, e: Values) -> Rel:
@@ -313,12 +348,38 @@ class Translator:
             own = literal_fields(F.col(f"`{n}__v`"), F.col(f"`{n}__d`"))
             df = df.withColumns({f"{n}__{f}": c for f, c in own.items()})
         certain = [all(r[i] is not None for r in e.rows) for i in range(len(e.names))]
-        return Rel(F.broadcast(df) if len(rows) < 10_000 else df, {n: Info(c) for n, c in zip(e.names, certain, strict=True)})
-
-    def search(self, e) -> Rel:
+        masks = dict.fromkeys(frozenset(n for n, t in zip(e.names, r, strict=True) if t is None) for r in e.rows)
+        return Rel(F.broadcast(df) if len(rows) < 10_000 else df, {n: Info(c) for n, c in zip(e.names, certain, strict=True)}, list(masks) or None)
+
+    def with_search(self, rel: Rel | None, e, graph) -> Rel:
+        """rel joined with the hits of a search. Where rel binds the sources, and these are few beside what is searched, only
+        their chunks are scored; a search with a window is not cut, as its window is one of all hits."""
+        name = e.variables.get("source")
+        chunks = self.text if isinstance(e, TextSearch) else self.vectors
+        if rel is None:
+            return self.search(e, chunks, graph)
+        if name in rel.vars and rel.vars[name].certain and chunks is not None and not {"limit", "offset"} & set(e.options):
+            bound = rel.df.select(rel.val(name).v.alias("source")).distinct()
+            if bytes_of(bound) * FEW < bytes_of(chunks):
+                chunks = chunks.join(bound, "source", "left_semi")
+        return self.join(rel, self.search(e, chunks, graph))
+
+    def search(self, e, chunks: DataFrame | None, graph) -> Rel:
         from quadweave.operators import search
 
-        hits = search.text_hits(self.text, e) if isinstance(e, TextSearch) else search.vector_hits(self.vectors, e)
+        if isinstance(e, PathSearch):
+            a, b = Variable("_sa"), Variable("_sb")
+            steps = [(p, self.bgp([Triple(a, Iri(p), b)], graph)) for p in e.via]
+            if not e.via:
+                every = self.bgp([Triple(a, Variable("_sp"), b)], graph)
+                steps = [(every.val("_sp").v, every)]
+            edges = [r.df.filter(r.val("_sb").k == "iri").select(r.val("_sa").v.alias("s"), (F.lit(p) if isinstance(p, str) else p).alias("p"), r.val("_sb").v.alias("o")) for p, r in steps]
+            hits, _ = paths.search_paths(reduce(DataFrame.union, edges), e.start, **e.options)
+            hits = hits.select(F.array_join("nodes", " ").alias("nodes"), F.array_join("predicates", " ").alias("predicates"), "length")
+        else:
+            if chunks is None:
+                raise UnsupportedQuery("there is nothing to search in")
+            hits = (search.text_hits if isinstance(e, TextSearch) else search.vector_hits)(chunks, e)
         vals = search.as_terms(hits, e.variables)
         return Rel(hits.select(*(c for n, v in vals.items() for c in v.columns(n))), {n: Info(True) for n in vals})
 
@@ -348,8 +409,8 @@ class Translator:
         return Rel(rel.df.filter(condition(f, rel.val, self.base)), rel.vars)
 
     def filter_mixed(self, rel: Rel, f: Expr, graph) -> Rel:
-        """EXISTS within a larger expression: its truth becomes a column of each row."""
-        row = rel.df.withColumn("row_", F.monotonically_increasing_id())
+        """EXISTS within a larger expression: its truth becomes a column of each row. Rows that agree on the variables of the
+        inner pattern agree on its truth, so it is found once for each of their values and joined back by these."""
         marks = []
 
         def swap(e: Expr) -> Expr:
@@ -360,17 +421,20 @@ class Translator:
             return Expr(e.op, [swap(a) if isinstance(a, Expr) else a for a in e.args], e.name, e.distinct)
 
         test = swap(f)
-        inner_rel = Rel(row, rel.vars)
+        df = rel.df
         vals: dict[str, Val] = {}
         for i, e in enumerate(marks, 1):
             inner, late = self.body(e.args[0], graph, set(rel.vars))
-            keyed = Rel(row.select(*(F.col(f"`{c}`") for n in rel.vars for c in rel.fields(n)), string(F.col("row_").cast("string")).v.alias("row__v"), *[null(x).alias(f"row__{x}") for x in FIELDS if x != "v"]), rel.vars | {"row": Info()})
-            hits = self.join(keyed, inner, "semi", late).df.select(F.col("row__v").cast("long").alias("row_"), F.lit(True).alias(f"mark_{i}")).distinct()
-            inner_rel = Rel(inner_rel.df.join(hits, "row_", "left"), rel.vars)
+            used = {n: x for n, x in rel.vars.items() if n in variables(e.args[0]) | set(inner.vars)}
+            keys = [f"{n}__r" if x.template else f"{n}__{f}" for n, x in used.items() for f in (("r",) if x.template else ("k", "v", "d", "l"))]
+            values = rel.df.select(*(F.col(f"`{c}`") for n in used for c in rel.fields(n)), *([] if used else [F.lit(1).alias("one")])).distinct()
+            hits = self.join(Rel(values, used), inner, "semi", late).df.select(*(F.col(f"`{k}`").alias(f"E_{k}") for k in keys), F.lit(True).alias(f"mark_{i}")).distinct()
+            met = reduce(lambda x, y: x & y, (F.col(f"`{k}`").eqNullSafe(F.col(f"`E_{k}`")) for k in keys), F.lit(True))
+            df = df.join(hits, met, "left").drop(*(f"E_{k}" for k in keys))
             from quadweave.terms import boolean
 
             vals[f"mark_{i}"] = boolean(F.coalesce(F.col(f"mark_{i}"), F.lit(False)))
-        return Rel(inner_rel.df.filter(condition(test, lambda n: vals.get(n) or rel.val(n), self.base)), rel.vars)
+        return Rel(df.filter(condition(test, lambda n: vals.get(n) or rel.val(n), self.base)), rel.vars)
 
     # -- SELECT
     def select(self, s: Select, graph=None) -> Rel:
@@ -464,9 +528,15 @@ class Translator:
         out = df.groupBy(*by).agg(*(columns or [F.count(F.lit(1)).alias("n_")]))
         vals = {n: build() for n, build in finish.items()}
         out = out.select(*by, *(c for n, v in vals.items() for c in v.columns(n)))
-        info = {n: rel.vars[n] for n, _ in keys} | {n: Info(e.name in ("COUNT", "SUM"), None, "n" if e.name in ("COUNT", "SUM", "AVG") else static.get(n)) for n, e in aggs}
+        info = {n: rel.vars[n] for n, _ in keys} | {n: Info(e.name in ("COUNT", "SUM") or bool(s.group) and self.always(rel, e), None, "n" if e.name in ("COUNT", "SUM", "AVG") else static.get(n)) for n, e in aggs}
         return Rel(out, info), projection, having, order
 
+    def always(self, rel: Rel, e: Expr) -> bool:
+        """Whether an aggregate of a group, which has a row at least, is bound: it takes a variable that is always bound."""
+        arg = e.args[0] if e.args else None
+        certain = isinstance(arg, Expr) and arg.op == "var" and arg.name in rel.vars and rel.vars[arg.name].certain
+        return certain and (e.name in ("MIN", "MAX", "SAMPLE", "GROUP_CONCAT") and not rel.vars[arg.name].template or e.name == "AVG" and rel.vars[arg.name].static == "n")
+
     def one_aggregate(self, rel: Rel, n: str, e: Expr):
         c = f"{n}_"
         if e.name == "COUNT":
@@ -491,7 +561,10 @@ class Translator:
             else:
                 cols = [F.sum(v.n).alias(c + "s"), F.count(v.n).alias(c + "n"), F.max(F.when(v.n.isNotNull() & ~v.d.isin(INTEGER_IRIS), v.d)).alias(c + "d")]
             if e.name == "SUM":
-                return cols, lambda: number(F.coalesce(F.col(c + "s"), F.lit(0.0)), F.coalesce(F.col(c + "d"), F.lit(XSD + "integer")))
+                # Doubles lose digits of large integers, whose sum is taken apart.
+                whole = F.try_sum(digits(v)) if not e.distinct else F.aggregate(items, F.lit(0).cast("decimal(38,0)"), lambda acc, x: F.try_add(acc, F.when(x["d"].isin(INTEGER_IRIS), x["v"].try_cast("decimal(38,0)"))).cast("decimal(38,0)"))
+                cols.append(whole.alias(c + "w"))
+                return cols, lambda: number(F.coalesce(F.col(c + "s"), F.lit(0.0)), F.coalesce(F.col(c + "d"), F.lit(XSD + "integer")), F.when(F.col(c + "d").isNull(), F.col(c + "w")))
             mean = lambda: F.when(F.col(c + "n") > 0, F.col(c + "s") / F.when(F.col(c + "n") > 0, F.col(c + "n")))
             return cols, lambda: number(mean(), F.coalesce(F.col(c + "d"), F.lit(XSD + "decimal")))
         whole = F.struct(*(getattr(v, f).alias(f) for f in FIELDS))
@@ -557,6 +630,50 @@ class Translator:
         return self.describe(q)
 
 
+def bytes_of(df: DataFrame) -> int:
+    """Spark's estimate of a plan's size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def searches(triples: list[Triple]) -> tuple[list[Triple], list]:
+    """Triples apart from those that ask for a search, and the searches."""
+    asked: dict[Any, list[Triple]] = {}
+    plain = []
+    for t in triples:
+        if isinstance(t.p, Iri) and t.p.value.startswith(SEARCH):
+            asked.setdefault(t.s, []).append(t)
+        else:
+            plain.append(t)
+    out = []
+    for s, own in asked.items():
+        if not isinstance(s, Variable) or not s.name.startswith(("_b", "_n")) or any(s in (t.s, t.o) for t in plain):
+            raise UnsupportedQuery("a search is a blank node of its own")
+        names, options, what, via = {}, {}, {}, []
+        for t in own:
+            name = t.p.value[len(SEARCH) :]
+            if isinstance(t.o, Variable):
+                names[{"chunkKey": "chunk_key", "startOffset": "start_offset", "endOffset": "end_offset"}.get(name, name)] = t.o.name
+            elif name in ("text", "vector", "from"):
+                what[name] = t.o.value
+            elif name == "via":
+                via.append(t.o.value)
+            elif name in OPTIONS:
+                number = getattr(t.o, "datatype", None)
+                options[OPTIONS[name]] = t.o.value if number is None else int(t.o.value) if number in INTEGER_IRIS else float(t.o.value)
+            else:
+                raise UnsupportedQuery(f"a search has no {name}")
+        if len(what) != 1:
+            raise UnsupportedQuery("a search has one of text, vector and from")
+        if "text" in what:
+            out.append(TextSearch(what["text"], names, options))
+        elif "vector" in what:
+            out.append(VectorSearch([float(x) for x in what["vector"].replace(",", " ").split()], names, options))
+        else:
+            options["most"] = options.pop("limit", 50)
+            out.append(PathSearch(what["from"], names, via, options))
+    return plain, out
+
+
 def _unpacked(column: str, name: str) -> list[Column]:
     from quadweave.sources.datasets import literal_fields
 
