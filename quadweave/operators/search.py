@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Sequence
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,15 +15,37 @@ from quadweave.terms import Val, XSD, make, number, string
 _CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}"
 
 
-def normalized(text: Column, nfkc: bool = False) -> Column:
-    """Lower case, white space collapsed and trimmed; with nfkc, compatibility forms are unified first (a pandas UDF)."""
-    if nfkc:
-        @F.pandas_udf("string")
-        def unify(s: pd.Series) -> pd.Series:
-            return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+@cache
+def _changeable() -> str:
+    """A pattern of all characters but those of the longest runs of characters that leave a text as it is under NFKC: such
+    that are their own form and join nothing before them. Runs of Latin letters come first, as most characters are there."""
 
-        text = unify(text)
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    def stays(c: int) -> bool:
+        return not (0xD800 <= c < 0xE000 or 0x1161 <= c <= 0x11C2 or unicodedata.combining(chr(c)) or unicodedata.normalize("NFKC", chr(c)) != chr(c))
+
+    runs, first = [], 0
+    for c in range(0x10000):
+        if not stays(c):
+            runs.append((first, c - 1))
+            first = c + 1
+    latin = [r for r in runs if r[0] < 0x250 and r[1] >= r[0]]
+    others = sorted(sorted((r for r in runs if r[0] >= 0x250), key=lambda r: r[0] - r[1])[:24])
+    return "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in latin + others) + "]"
+
+
+def unified(text: Column) -> Column:
+    """Compatibility forms unified (NFKC). Only texts that it may change go through Python, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def unify(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return F.coalesce(unify(F.when(text.rlike(_changeable()), text)), text)
+
+
+def normalized(text: Column) -> Column:
+    """Compatibility forms unified, lower case, white space collapsed and trimmed."""
+    return F.trim(F.regexp_replace(F.lower(unified(text)), r"\s+", " "))
 
 
 def tokens(norm: Column) -> Column:
@@ -129,7 +152,7 @@ def text_search(chunks: DataFrame, query: str, entities: Sequence[str] = (), per
     """Chunks (source, ordinal, content[, heading, entities]) whose normalized text contains the normalized phrase, with
     score = its occurrences, and 100 more if the heading contains it. Given entities must all be mentioned; with an empty
     phrase the score is then 1. Best first, then source and ordinal; per_source keeps the best few of each source."""
-    phrase = " ".join(query.lower().split())
+    phrase = " ".join(unicodedata.normalize("NFKC", query).lower().split())
     df = chunks.filter(source_condition(F.col("source"), options))
     if entities:
         df = df.filter(F.size(F.array_except(F.array(*map(F.lit, entities)), F.col("entities"))) == 0)
@@ -244,7 +267,7 @@ def as_terms(hits: DataFrame, variables: dict[str, str]) -> dict[str, Val]:
             out[name] = make(F.lit("iri"), F.concat(F.col("source").cast("string"), F.lit("#chunk-"), F.col("chunk_key")))
         elif column in ("score", "distance"):
             out[name] = number(F.col(column).cast("double"), "decimal")
-        elif column in ("ordinal", "start_offset", "end_offset", "level"):
+        elif column in ("ordinal", "start_offset", "end_offset", "level", "length", "vec_id"):
             out[name] = number(F.col(column).cast("double"), "integer")
         elif column == "path":
             out[name] = string(F.array_join("path", " / "))
