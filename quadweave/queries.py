@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadweave import storage
 from quadweave.engine import Engine, QuerySpec, aggregate, call, test, value, var
 from quadweave.operators import paths, search, stats, update
 from quadweave.plans import algebra as A
-from quadweave.sources.datasets import TABLES, QuadDataset, RelationalDataset, Scope
+from quadweave.sources.datasets import TABLES, RelationalDataset, Scope
 from quadweave.streaming import changes
 from quadweave.terms import Iri, Literal, Variable
 
@@ -443,8 +443,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("change_feed_sync", f"WITH {_CHANGES}, g AS (SELECT user_id, max_by(event_type, event_id) AS event_type, max(event_id) AS event_id, bool_or(op = 'delete') AS gone FROM c GROUP BY 1) SELECT user_id, event_type, event_id FROM g WHERE NOT gone")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="quadweave-")
-    folder = f"{conf.rstrip('/')}/sync-{uuid.uuid4().hex}"
+    folder = f"{str(storage.folder(spark)).rstrip('/')}/sync-{uuid.uuid4().hex}"
     events = spark.read.parquet(f"{sf}/events.parquet")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
     stream = stream.withColumn("op", F.when(F.col("event_type") == "error", "delete").otherwise("update"))
@@ -453,6 +452,4 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return changes.state(spark, f"{folder}/state")
 
 
-def conformance(spark: SparkSession, quad_rows: DataFrame) -> Engine:
-    """An engine over plain quads, with the real default graph."""
-    return Engine(spark, QuadDataset(quads=quad_rows))
+from quadweave import queries_retrieval, queries_rules  # noqa: E402, F401  they register more
