@@ -16,9 +16,9 @@ _CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{
 
 
 @cache
-def _changeable() -> str:
-    """A pattern of all characters but those of the longest runs of characters that leave a text as it is under NFKC: such
-    that are their own form and join nothing before them. Runs of Latin letters come first, as most characters are there."""
+def _unchanged() -> str:
+    """A pattern of texts made of the longest runs of characters that leave a text as it is under NFKC: such that are their
+    own form and join nothing before them. Runs of Latin letters come first, as most characters are there."""
 
     def stays(c: int) -> bool:
         return not (0xD800 <= c < 0xE000 or 0x1161 <= c <= 0x11C2 or unicodedata.combining(chr(c)) or unicodedata.normalize("NFKC", chr(c)) != chr(c))
@@ -30,7 +30,7 @@ def _changeable() -> str:
             first = c + 1
     latin = [r for r in runs if r[0] < 0x250 and r[1] >= r[0]]
     others = sorted(sorted((r for r in runs if r[0] >= 0x250), key=lambda r: r[0] - r[1])[:24])
-    return "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in latin + others) + "]"
+    return r"\A[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in latin + others) + r"]*+\z"
 
 
 def unified(text: Column) -> Column:
@@ -40,7 +40,8 @@ def unified(text: Column) -> Column:
     def unify(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
-    return F.coalesce(unify(F.when(text.rlike(_changeable()), text)), text)
+    ascii_only = F.octet_length(text) == F.length(text)  # far cheaper to see, and true of most texts
+    return F.coalesce(unify(F.when(~(ascii_only | text.rlike(_unchanged())), text)), text)
 
 
 def normalized(text: Column) -> Column:
