@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,16 +18,18 @@ BROADCAST_BYTES = 32 << 20
 #: Rows of an Arrow batch while a table is written, at most.
 BATCH_ROWS, _BATCH = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+_writing = threading.RLock()
+_scratch: list[list[DataFrame]] = []
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a folder of its own for
-    local sessions, or the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave it unset, and then has
+    a folder of its own."""
     conf = spark.sparkContext.getConf()
     if not conf.get("spark.checkpoint.dir", ""):
         if not spark.sparkContext.master.startswith("local["):
-            return spark.conf.get("spark.sql.warehouse.dir")
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not getattr(folder, "own", ""):
             folder.own = "file://" + tempfile.mkdtemp(prefix="quadweave-")
         return folder.own
@@ -32,19 +37,43 @@ def folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing of it."""
+    """df as a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing of it. It goes with
+    the scratch() it was made in, or when the driver ends."""
     path = f"{folder(df.sparkSession).rstrip('/')}/quadweave/{name}-{uuid.uuid4().hex}"
-    conf, batch = df.sparkSession.conf, int(df.sparkSession.conf.get(_BATCH))
-    conf.set(_BATCH, str(min(batch, BATCH_ROWS) if batch > 0 else BATCH_ROWS))  # texts are long rows
-    try:
-        df.write.parquet(path)
-    finally:
-        conf.set(_BATCH, str(batch))
+    conf = df.sparkSession.conf
+    with _writing:  # the setting holds for the session
+        batch = int(conf.get(_BATCH))
+        conf.set(_BATCH, str(min(batch, BATCH_ROWS) if batch > 0 else BATCH_ROWS))  # texts are long rows
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(_BATCH, str(batch))
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.shared_path = path
+    _made(out)
     return out
 
 
+def _made(df: DataFrame) -> None:
+    for tables in _scratch:
+        tables.append(df)
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+@contextmanager
+def scratch(keep: str = "") -> Iterator[None]:
+    """Tables that are made inside are deleted at its end, but for those of the name that is kept."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for df in _scratch.pop():
+            if not keep or f"/{keep}-" not in df.shared_path:
+                forget(df)
+
+
 def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
     """df as a table in the shared folder, in buckets by column, so that joins and cogroups on it need no shuffle of this side.
     Its name is in the session's catalog until forget()."""
@@ -53,6 +82,7 @@ def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
     df.write.bucketBy(buckets, column).option("path", path).saveAsTable(key)
     out = df.sparkSession.table(key)
     out.shared_path, out.shared_name = path, key
+    _made(out)
     return out
 
 
@@ -77,6 +107,12 @@ def checked(small: DataFrame, row_bytes: int, limit: int | None = None) -> DataF
     return F.broadcast(small) if small.count() * row_bytes <= limit else small
 
 
+def weighed(small: DataFrame, row_bytes: Column, limit: int | None = None) -> DataFrame:
+    """small, marked for broadcast if its rows, by an expression of their bytes, stay below the limit."""
+    limit = BROADCAST_BYTES if limit is None else limit
+    return F.broadcast(small) if (small.agg(F.sum(row_bytes)).first()[0] or 0) <= limit else small
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only. Pure ASCII texts, where lower() does just that, take the fast way."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, _UPPER, _LOWER))

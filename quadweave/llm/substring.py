@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadweave.llm.fmindex import repeated_windows
-from quadweave.llm.shared import checked, written
+from quadweave.llm.shared import checked, weighed, written
 from quadweave.llm.words import SPACED, Words, chunks, mix
 
 #: Words of a window; words of the runs whose least hash routes a window; words of a shard's index, about.
@@ -201,13 +201,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = written(counts.select("anchor", (F.col("count") > often).alias("hot")), "shared_anchors")
     lists = places.join(shared, "anchor").groupBy("rid").agg(F.flatten(F.collect_list("n")).alias("numbers"), F.flatten(F.collect_list(F.when(F.col("hot"), F.col("n")))).alias("often"))
     chosen = written(lists.select("rid", "numbers", "often").mapInArrow(_bitmaps, "rid long, bits binary, some_bits binary"), "chosen")
-    rows = base.join(checked(chosen, 128, limit), "rid").select("id", "rid", "text", "bits", F.col("some_bits").alias("often"))
+    rows = base.join(weighed(chosen, 48 + F.octet_length("bits") + F.octet_length("some_bits"), limit), "rid").select("id", "rid", "text", "bits", F.col("some_bits").alias("often"))
     where = written(rows.mapInArrow(_where(window, anchor), "id long, rid long, number int, first int, route long, digest binary"), "where")
     one = where.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "number")).alias("at"))
     sent = one.groupBy("at.rid").agg(F.collect_set("at.number").alias("numbers"), F.collect_set(F.when(F.col("copies") > 1, F.col("at.number"))).alias("twice"))
     wanted = written(sent.mapInArrow(_bitmaps, "rid long, bits binary, some_bits binary").select("rid", F.col("bits").alias("wanted"), F.col("some_bits").alias("twice")), "wanted")
     shards = int(where.count() * (window + 12) // shard_words) + 1
-    rep_rows = rows.join(checked(wanted, 128, limit), "rid").select("id", "rid", "text", "bits", "often", "wanted", "twice")
+    rep_rows = rows.join(weighed(wanted, 48 + F.octet_length("wanted") + F.octet_length("twice"), limit), "rid").select("id", "rid", "text", "bits", "often", "wanted", "twice")
     sent_pieces = rep_rows.mapInArrow(_words_of(window, anchor, shards), "shard long, copies int, piece string")
     found = sent_pieces.groupBy("shard").applyInArrow(_search(window), "digest binary, windows array<int>")
     shifted = F.transform("windows", lambda x: x + F.col("first"))
