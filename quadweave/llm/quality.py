@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from quadweave.llm.toxicity import labelled
 from quadweave.llm.words import SPACED, Words, chunks
 
-#: Labelled documents to learn from, at most; slots of hashed words; rank of the interactions.
-SAMPLE, WORD_SLOTS, RANK = 4000, 1 << 16, 8
+#: Labelled documents to learn from, and bytes of their texts, at most; slots of hashed words; rank of the interactions.
+SAMPLE, SAMPLE_BYTES, WORD_SLOTS, RANK = 4000, 32 << 20, 1 << 16, 8
 THRESHOLD = 0.5
 
 
@@ -167,11 +167,13 @@ def _meta(docs: DataFrame, text_col: str, chars_col: str | None) -> F.Column:
     return F.col(chars_col).cast("double") if chars_col and chars_col in docs.columns else F.length(text_col).cast("double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", chars_col: str | None = "n_chars", sample: int = SAMPLE) -> Machine:
-    """Learns from at most `sample` labelled documents, those with the least hash of their id. Without labels of both
-    kinds all documents get one score."""
-    from_ = docs.withColumn("__chars", _meta(docs, text_col, chars_col))
-    rows = labelled(from_, labels, label, id_col, text_col, sample, ("__chars",)).mapInArrow(_features, "label int, slots array<int>, stats array<double>").toArrow()
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", chars_col: str | None = "n_chars", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Machine:
+    """Learns from at most `sample` labelled documents, and `sample_bytes` of text, those with the least hash of their id; of
+    an id that is repeated one row counts, null ids and labels are left out, null texts are empty. Without labels of both
+    kinds, as in empty tables, all documents get one score."""
+    from_ = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _meta(docs, text_col, chars_col).alias("chars"))
+    from_labels = labels.select(F.col(id_col).alias("id"), F.col(label).alias("label"))
+    rows = labelled(from_, from_labels, "label", "id", "text", sample, sample_bytes, ("chars",)).mapInArrow(_features, "label int, slots array<int>, stats array<double>").toArrow()
     y = np.array(rows.column(0).to_pylist(), float)
     stats = np.array(rows.column(2).to_pylist(), float).reshape(len(y), len(STATISTICS))
     return train([s.values.to_numpy(zero_copy_only=False) for s in rows.column(1)], stats, y)
@@ -179,7 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, fitted: Machine, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """Scores whole texts: id and score, 0 to 1; null and empty texts are scored by their statistics, all zero. A missing
-    or null n_chars counts as 0; without that column the text's length stands for it."""
+    or null n_chars counts as 0; without that column the text's length stands for it. Each row is scored alone, whatever
+    its id; equal rows get equal scores; long texts are scored whole; other columns of docs are not read."""
     sent = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

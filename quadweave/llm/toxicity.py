@@ -7,13 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadweave.llm.shared import written
 from quadweave.llm.words import _BASE, ALNUM_LOWER, Words, chunks, mix, mixed
 
-#: Labelled documents to learn from, at most: those with the least hash of their id.
-SAMPLE = 6000
+#: Labelled documents to learn from, at most: those with the least hash of their id; and bytes of their texts, at most.
+SAMPLE, SAMPLE_BYTES = 6000, 32 << 20
 #: Beginnings of words, in bytes, that count as features beside whole words. A feature must be tied to the label: chance
 #: alone must give its split between the labels with less than exp(-EVIDENCE).
 PREFIXES, EVIDENCE = (4, 5, 6), 9.0
@@ -158,23 +159,34 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], names=["label", "features", "sizes"])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, sample: int, also: tuple[str, ...] = ()) -> DataFrame:
-    """(label, text, ...) of at most `sample` labelled documents; the labels' side of the join is bounded by `sample`."""
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__label")).filter("__id is not null and __label is not null")
-    some = known.groupBy("__id").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    return docs.join(F.broadcast(some), docs[id_col] == some["__id"]).select(F.col("__label").alias("label"), F.col(text_col).alias("text"), *also)
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Learns from at most `sample` labelled documents, those with the least hash of their id; all labels are candidates.
-    Without labels of both kinds every document gets the same low or even score."""
-    rows = labelled(docs, labels, label, id_col, text_col, sample).mapInArrow(_features, "label int, features array<int>, sizes array<int>").toArrow()
+def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, sample: int, sample_bytes: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """(label, text, ...) of at most `sample` labelled documents, and as many of these as have `sample_bytes` of text together
+    or less, in order of the hash of their ids. Of rows that repeat an id the one with the greatest text counts, of labels
+    the greatest one. Only the columns named are read, so that others may have any names."""
+    known = labels.select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y")).filter("i is not null and y is not null")
+    some = known.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(sample)
+    named = {f"x{n}": F.col(c) for n, c in enumerate(also)}
+    rows = docs.select(F.col(id_col).alias("id"), F.struct(F.coalesce(text_col, F.lit("")).alias("text"), *(c.alias(n) for n, c in named.items())).alias("row"))
+    rows = rows.join(F.broadcast(some), F.col("id") == F.col("i")).groupBy("i", "y").agg(F.max("row").alias("row"))
+    rows = written(rows.select("i", F.col("y").alias("label"), "row.*"), "labelled")  # `sample` rows at most
+    before = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("i"), "i"))
+    return rows.withColumn("bytes", before).filter(F.col("bytes") <= sample_bytes).select("label", "text", *named)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Learns from at most `sample` labelled documents, and `sample_bytes` of text, those with the least hash of their id; all
+    labels are candidates. Null labels and ids are left out, null texts are empty, and of an id that is repeated one row
+    counts. Without labels of both kinds, as in empty tables, every document gets the same low or even score."""
+    rows = labelled(docs, labels, label, id_col, text_col, sample, sample_bytes).mapInArrow(_features, "label int, features array<int>, sizes array<int>").toArrow()
     return train([(f.values.to_numpy(zero_copy_only=False).view(np.uint32), s.values.to_numpy(zero_copy_only=False), y.as_py()) for y, f, s in zip(*rows.columns, strict=True)])
 
 
 def score(docs: DataFrame, fitted: Model, id_col: str = "doc_id", text_col: str = "text", sentence: float = 0.5) -> DataFrame:
     """Scores whole texts: id, score (noisy-or of all sentences, 0 without words) and offending, the sentences with a
-    probability of `sentence` or more as byte ranges (first, last) of the text with their probability p."""
+    probability of `sentence` or more as byte ranges (first, last) of the text with their probability p.
+
+    Each row is scored alone, whatever its id: null and repeated ids too. Null and empty texts have no words; a long text
+    is scored whole, in memory of its own size; equal texts have equal scores; other columns of docs are not read."""
     sent = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
