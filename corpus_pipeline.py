@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages over the operators of quadweave.llm; each stage works on all that the one before kept."""
+"""A corpus pipeline of five stages over the operators of quadweave.llm; each stage works on all that the one before kept.
+
+Filters decide on rows. A null text is an empty one: it is never toxic, near anything or contaminated, and one of all empty
+texts stays. Rows with a null or repeated doc_id are kept or dropped like others. Whole texts of any length are looked at.
+Empty tables, of documents, labels or benchmark, give empty results or drop nothing. Other columns of documents pass through
+the filters, whatever their names; the mix has columns of its own."""
 
 from __future__ import annotations
 
@@ -10,51 +15,53 @@ from quadweave.llm.decontam import contamination
 from quadweave.llm.exact import exact_groups
 from quadweave.llm.mixing import mixture
 from quadweave.llm.near import near_groups
-from quadweave.llm.shared import checked, fold, table, without, written
-
-ROW = "__row"
-
+from quadweave.llm.shared import checked, fold, forget, scratch, table, without, written
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of each row, so that decisions reach rows whatever their doc_id, null and repeated ones included."""
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """docs with a key of each row, so that decisions reach rows whatever their doc_id, null and repeated ones included; a
+    view of what operators read, (row, doc_id, text); and the key's name, which is none of docs' own."""
+    row = "row_key"
+    while row in docs.columns:
+        row += "_"
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    return rows, rows.select(F.col(row).alias("row"), "doc_id", "text"), row
 
 
-def kept(rows: DataFrame, drop: DataFrame, name: str) -> DataFrame:
+def kept(rows: DataFrame, drop: DataFrame, row: str, name: str) -> DataFrame:
     """The rows whose key is not in the one column of drop, without the key."""
-    return without(rows, written(drop, name), ROW).drop(ROW)
+    return without(rows, written(drop, name), row).drop(row)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score as toxic. Labels are learned from the folds that the toxicity query learns from."""
     fitted = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1))
-    rows = keyed(docs)
-    return kept(rows, toxicity.score(rows, fitted, id_col=ROW).filter(F.col("score") >= toxicity.THRESHOLD).select("id"), "toxic")
+    rows, view, row = keyed(docs)
+    return kept(rows, toxicity.score(view, fitted, id_col="row").filter(F.col("score") >= toxicity.THRESHOLD).select("id"), row, "toxic")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of equal texts: that of the largest doc_id; one without an id if no other has one."""
-    rows = keyed(docs)
-    ranked = rows.withColumn("__rank", F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", ROW))
-    return kept(rows, exact_groups(ranked, id_col="__rank", keep="max").filter("not kept").select(F.col("id")[ROW].alias("id")), "copies")
+    rows, view, row = keyed(docs)
+    ranked = view.select(F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", "row").alias("rank"), "text")
+    return kept(rows, exact_groups(ranked, id_col="rank", keep="max").filter("not kept").select(F.col("id.row").alias("id")), row, "copies")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near-duplicates: that of the smallest doc_id; one without an id if no other has one."""
-    rows = keyed(docs)
-    linked = written(near_groups(rows, id_col=ROW).filter("not kept").select("id", "component_id"), "near_copies")
+    rows, view, row = keyed(docs)
+    linked = written(near_groups(view, id_col="row").filter("not kept").select("id", "component_id"), "near_copies")
     members = linked.union(linked.select("component_id", "component_id").distinct())
-    ranked = rows.join(checked(members, 32), rows[ROW] == members["id"]).select("id", "component_id", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW).alias("rank"))
+    ranked = view.select("row", "doc_id").join(checked(members, 32), F.col("row") == F.col("id")).select("id", "component_id", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row").alias("rank"))
     ranked = written(ranked, "near_ranked")
     first = ranked.groupBy("component_id").agg(F.min("rank").alias("first"))
-    return kept(rows, ranked.join(first, "component_id").filter(F.col("id") != F.col("first")[ROW]).select("id"), "near_dropped")
+    return kept(rows, ranked.join(first, "component_id").filter(F.col("id") != F.col("first.row")).select("id"), row, "near_dropped")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a window of a benchmark item occurs."""
-    rows = keyed(docs)
-    found = contamination(rows, table(spark, sf_dir, "benchmark"), id_col=ROW)
-    return kept(rows, found.filter("n_hit > 0").select("id"), "contaminated")
+    rows, view, row = keyed(docs)
+    found = contamination(view, table(spark, sf_dir, "benchmark"), id_col="row")
+    return kept(rows, found.filter("n_hit > 0").select("id"), row, "contaminated")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +83,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Runs all stages, each on the written result of the one before; what a stage needs in between is deleted after it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(keep=name):
+            docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            forget(before)
+        before = docs
     return docs
