@@ -37,38 +37,54 @@ def _runs(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield start, run
 
 
-def ngrams(run: list[np.ndarray], n: int = N) -> tuple[np.ndarray, np.ndarray]:
-    """(text, n-gram) of all runs of 1 to n characters that lie within a word and the blanks around it; the blank stands
-    for anything but letters. A blank alone is none. 21 bits a character make the key exact."""
+def ngrams(run: list[np.ndarray], n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, n-gram, count) of all runs of 1 to n characters that lie within a word and the blanks around it, by text and
+    n-gram; the blank stands for anything but letters. A blank alone is none. 21 bits a character make the key exact."""
     points = np.concatenate([np.concatenate([[32], p, [32]]) for p in run]).astype(np.int64)
     doc = np.repeat(np.arange(len(run)), [len(p) + 2 for p in run])
     letter = _letters()[points]
     points = np.where(letter, points, 0)
-    keep = letter | np.concatenate([[True], letter[:-1]]) | np.concatenate([doc[1:] != doc[:-1], [True]])  # one blank between words
+    starts = np.concatenate([[True], doc[1:] != doc[:-1]])
+    keep = letter | starts | np.concatenate([[True], letter[:-1]])  # a blank before the first word, and one after each
     points, doc, letter = points[keep], doc[keep], letter[keep]
-    docs, keys = [], []
-    key = np.zeros(len(points), np.int64)
+    # Characters by their rank among those that occur make keys small enough to be sorted together with the text's number.
+    own = np.flatnonzero(np.bincount(points, minlength=1))
+    base = len(own) + 1
+    if len(run) > 1 and len(run) * base**n >= 1 << 62:  # a great many kinds of characters: half of the texts at a time
+        half = len(run) // 2
+        (d1, *a), (d2, *b) = ngrams(run[:half], n), ngrams(run[half:], n)
+        return np.concatenate([d1, d2 + half]), *(np.concatenate(x) for x in zip(a, b, strict=True))
+    digit = np.searchsorted(own, points) + 1
+    found, key = [], np.zeros(len(points), np.int64)
     for k in range(1, n + 1):
         m = len(points) - k + 1
         if m <= 0:
             break
-        key = key[:m] << 21 | points[k - 1 :][:m] + 1
+        key = key[:m] * base + digit[k - 1 :][:m]
         good = doc[:m] == doc[k - 1 :][:m]
-        inner = np.ones(m, bool)
-        for j in range(1, k - 1):  # a blank in the middle would join two words
-            inner &= letter[j : j + m]
         some = letter[:m].copy()
         for j in range(1, k):
             some |= letter[j : j + m]
-        good &= inner & some
-        docs.append(doc[:m][good])
-        keys.append(key[good])
-    return np.concatenate(docs) if docs else doc[:0], np.concatenate(keys) if keys else key[:0]
+        for j in range(1, k - 1):  # a blank in the middle would join two words
+            good &= letter[j : j + m]
+        good &= some
+        found.append(doc[:m][good] * base**n + key[good])
+    all_ = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], all_[1:] != all_[:-1]]))[: len(all_)]
+    doc, small = np.divmod(all_[first], base**n)
+    exact = np.zeros(len(small), np.int64)
+    for j in range(n):
+        small, d = np.divmod(small, base)
+        exact |= np.where(d > 0, own[d - 1] + 1, 0) << 21 * j
+    return doc, exact, np.diff(np.append(first, len(all_)))
+
 
+#: Ties of counts are broken by this order of n-grams, which favours no alphabet, and then by the n-grams themselves.
+TIES, _STEP = 1_000_003, 7919
 
-def _order(keys: np.ndarray) -> np.ndarray:
-    """Breaks ties of counts in an order that favours no alphabet and agrees with Spark's signed comparison."""
-    return keys * np.int64(-7046029254386353131)
+
+def tie(keys):
+    return keys % TIES * _STEP % TIES
 
 
 def count_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -78,11 +94,12 @@ def count_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Reco
         names = sorted(set(langs))
         index = {x: i for i, x in enumerate(names)}
         for start, run in _runs(batch.column(1)):
-            doc, keys = ngrams(run, n)
+            doc, keys, counts = ngrams(run, n)
             lang = np.array([index[x] for x in langs[start : start + len(run)]])[doc]
             for i in np.unique(lang):
-                grams, counts = np.unique(keys[lang == i], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([names[i]] * len(grams)), pa.array(grams), pa.array(counts)], names=["lang", "gram", "n"])
+                grams, at = np.unique(keys[lang == i], return_inverse=True)
+                sums = np.bincount(at, counts[lang == i], len(grams)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([names[i]] * len(grams)), pa.array(grams), pa.array(sums)], names=["lang", "gram", "n"])
 
 
 @dataclass(frozen=True)
@@ -101,9 +118,9 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n: in
     before the shuffle. The driver gets `size` rows a language."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = known.mapInArrow(lambda it: count_batches(it, n), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.withColumn("tie", F.xxhash64("gram"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "tie", "gram")) - 1).filter(F.col("rank") < size)
-    rows = ranked.select("lang", "gram", "rank").collect()
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), tie(F.col("gram")), "gram")
+    ranked = counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)  # a limit a group, before the shuffle too
+    rows = ranked.select("lang", "gram", F.col("place") - 1).collect()
     langs = sorted({r[0] for r in rows})
     grams = np.array(sorted({r[1] for r in rows}), np.int64)
     rank = np.full((len(grams), max(len(langs), 1)), size, np.int32)
@@ -117,7 +134,9 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     frequent n-grams, the sum of the differences between ranks, with the profile's size for those it lacks.
 
     Returns id, lang_pred and score: by how much the nearest profile beats the next one, 0 to 1. `und`, with score 0, if
-    the text is null or has no letter, or nothing was learned. Ties go to the first language by code point."""
+    the text is null or has no letter, or nothing was learned, as from an empty table. Ties go to the first language by code
+    point. Each row is looked at alone and whole, whatever its length and id, null and repeated ids too; other columns of
+    docs are not read."""
     sent = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,13 +144,9 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
         for batch in batches:
             for start, texts in _runs(batch.column(1)):
                 m = len(texts)
-                doc, keys = ngrams(texts, p.n)
-                order = np.lexsort((keys, doc))
-                doc, keys = doc[order], keys[order]
-                first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])])) if len(keys) else np.zeros(0, np.int64)
-                counts = np.diff(np.append(first, len(keys)))
-                doc, keys = doc[first], keys[first]
-                order = np.lexsort((_order(keys), -counts, doc))
+                doc, keys, counts = ngrams(texts, p.n)
+                most = int(counts.max(initial=0))
+                order = np.argsort((doc * (most + 1) + most - counts) * TIES + tie(keys), kind="stable")  # sorted by keys already
                 doc, keys = doc[order], keys[order]
                 at = np.searchsorted(doc, np.arange(m + 1))
                 rank = np.arange(len(doc)) - at[doc]

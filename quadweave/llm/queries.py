@@ -155,5 +155,31 @@ SELECT coalesce(o.page_id, h.page_id) AS page_id, coalesce(o.shard, h.shard)::BI
 FROM o FULL JOIN h ON o.page_id = h.page_id WHERE o.digest IS DISTINCT FROM h.digest
 """
 
+# The remainder of the CRC-32 of a number's digits: bit by bit, from the lowest of each character.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_transform(range(8), lambda i: (ascii(c) >> i::INT) & 1)))),
+  lambda a, b: xor(a >> 1, CASE WHEN xor(a & 1, b) = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"""
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, lang, {_CRC} % 4 = 2 AS held_out, trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', ' ', 'g')) AS t FROM documents),
+w AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split(t, ' ')) AS w FROM d WHERE t <> '') GROUP BY ALL),
+v AS (SELECT w, ' ' || w || ' ' AS s FROM (SELECT DISTINCT w FROM w)),
+x AS (
+  SELECT w, substr(s, i::INT, k::INT) AS g FROM v, unnest(range(1, length(s) + 1)) AS r(i), unnest(range(1, 4)) AS q(k)
+  WHERE i + k <= length(s) + 1 AND substr(s, i::INT, k::INT) <> ' '),
+p AS (SELECT DISTINCT g, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(g, ''), lambda c: CASE WHEN c = ' ' THEN 1 ELSE unicode(c) + 1 END)), lambda a, b: a * 2097152 + b) AS key FROM x),
+c AS (SELECT doc_id, p.key, sum(n) AS n FROM w JOIN x ON w.w = x.w JOIN p ON p.g = x.g GROUP BY ALL),
+o AS (SELECT *, key % 1000003 * 7919 % 1000003 AS tie FROM c),
+l AS (SELECT lang, key, tie, sum(n) AS n FROM o JOIN d USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL),
+f AS (SELECT lang, key, row_number() OVER (PARTITION BY lang ORDER BY n DESC, tie, key) - 1 AS rank FROM l QUALIFY rank < 400),
+e AS (SELECT doc_id, key, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, tie, key) - 1 AS rank FROM o QUALIFY rank < 400),
+m AS (
+  SELECT doc_id, a.lang, sum(coalesce(abs(f.rank - e.rank), 400)) AS away
+  FROM e CROSS JOIN (SELECT DISTINCT lang FROM f) a LEFT JOIN f ON f.lang = a.lang AND f.key = e.key GROUP BY ALL),
+b AS (SELECT doc_id, lang, away, row_number() OVER (PARTITION BY doc_id ORDER BY away, lang) AS k FROM m)
+SELECT d.doc_id, held_out, coalesce(x.lang, 'und') AS lang_pred,
+  CASE WHEN x.lang IS NULL OR coalesce(y.away, 1) = 0 THEN 0.0 ELSE greatest(0.0, 1 - x.away::DOUBLE / coalesce(y.away, 1)::DOUBLE) END AS score
+FROM d LEFT JOIN b x ON x.doc_id = d.doc_id AND x.k = 1 LEFT JOIN b y ON y.doc_id = d.doc_id AND y.k = 2
+"""
+
 QUERIES = {"op1_minhash": op1_minhash, "op2_exact": op2_exact, "op3_substring": op3_substring, "op4_katz": op4_katz, "op5_positional": op5_positional, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_language": op10_language}
-ORACLES = {"op1_minhash": OP1_SQL, "op2_exact": OP2_SQL, "op3_substring": OP3_SQL, "op5_positional": OP5_SQL, "op8_warc": OP8_SQL}
+ORACLES = {"op1_minhash": OP1_SQL, "op2_exact": OP2_SQL, "op3_substring": OP3_SQL, "op5_positional": OP5_SQL, "op8_warc": OP8_SQL, "op10_language": OP10_SQL}
