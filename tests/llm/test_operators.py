@@ -382,9 +382,10 @@ def test_language(spark):
 
 
 def test_language_ngrams():
-    doc, keys = langid.ngrams([np.frombuffer("ab c".encode("utf-32-le"), np.uint32)])
+    doc, keys, counts = langid.ngrams([np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in ("ab c", "", "x", "ab")])
+    assert sorted(set(doc.tolist())) == [0, 2, 3] and set(counts.tolist()) == {1}
     grams = collections.Counter()
-    for k in keys.tolist():
+    for k in keys[doc == 0].tolist():
         out = []
         while k:
             c = (k & (1 << 21) - 1) - 1
