@@ -7,7 +7,7 @@ the filters, whatever their names; the mix has columns of its own."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadweave.llm import toxicity
@@ -19,14 +19,32 @@ from quadweave.llm.shared import checked, fold, forget, scratch, table, without,
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     """docs with a key of each row, so that decisions reach rows whatever their doc_id, null and repeated ones included; a
-    view of what operators read, (row, doc_id, text); and the key's name, which is none of docs' own."""
-    row = "row_key"
-    while row in docs.columns:
-        row += "_"
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    view of what operators read, (row, doc_id, text); and the key's name, which is none of docs' own.
+
+    Rows of Parquet files are numbered by file and place in it, which every later read finds alike, in any number of tasks.
+    Rows from anywhere else are written once."""
+    row, file, place = (_free(n, docs) for n in ("row_key", "row_file", "row_place"))
+    rows = None
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        where = docs.metadataColumn("_metadata")
+        placed = docs.select("*", F.xxhash64(where["file_path"]).alias(file), where["row_index"].alias(place))
+        names = docs.select(where["file_path"].alias("name")).distinct().select("name", F.xxhash64("name").alias(file))
+        number = (F.row_number().over(Window.orderBy("name")) - 1).cast("long")
+        files = written(names.select(file, number.alias(row)), "files")  # a row a file
+        if files.select(file).distinct().count() == files.count():
+            key = F.col(row) * F.lit(1 << 40) + F.col(place)
+            rows = placed.join(checked(files, 24), file).select(*(F.col(f"`{c}`") for c in docs.columns), key.alias(row))
+    if rows is None:
+        rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     return rows, rows.select(F.col(row).alias("row"), "doc_id", "text"), row
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def kept(rows: DataFrame, drop: DataFrame, row: str, name: str) -> DataFrame:
     """The rows whose key is not in the one column of drop, without the key."""
     return without(rows, written(drop, name), row).drop(row)
