@@ -169,8 +169,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_c
     rows = docs.select(F.col(id_col).alias("id"), F.struct(F.coalesce(text_col, F.lit("")).alias("text"), *(c.alias(n) for n, c in named.items())).alias("row"))
     rows = rows.join(F.broadcast(some), F.col("id") == F.col("i")).groupBy("i", "y").agg(F.max("row").alias("row"))
     rows = written(rows.select("i", F.col("y").alias("label"), "row.*"), "labelled")  # `sample` rows at most
-    before = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("i"), "i"))
-    return rows.withColumn("bytes", before).filter(F.col("bytes") <= sample_bytes).select("label", "text", *named)
+    before = F.sum("bytes").over(Window.orderBy(F.xxhash64("i"), "i"))  # numbers alone; the texts stay where they are
+    taken = rows.select("i", F.octet_length("text").alias("bytes")).withColumn("sum", before).filter(F.col("sum") <= sample_bytes)
+    return rows.join(F.broadcast(taken.select("i")), "i").select("label", "text", *named)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
