@@ -16,6 +16,8 @@ from quadweave.llm.shared import written
 from quadweave.llm.words import ALNUM_LOWER, chunks
 
 WINDOW = 10
+#: Bytes of text of an index shard, about.
+SHARD_BYTES = 1 << 20
 #: Bytes of benchmark text compiled at once; a larger benchmark is matched in several blocks, each against all shards.
 BLOCK_BYTES = 1 << 20
 
@@ -69,7 +71,7 @@ def index_batches(batches: Iterator[pa.RecordBatch], terms: np.ndarray) -> Itera
     """(id, text) -> one row per shard: ids and word offsets of its documents and, for each of the terms that occurs, its
     sorted positions. Position p of the shard is word p of its documents laid end to end."""
     for batch in batches:
-        for part, found in chunks(batch.column(1), ALNUM_LOWER):
+        for part, found in chunks(batch.column(1), ALNUM_LOWER, SHARD_BYTES):
             place = np.minimum(np.searchsorted(terms, found.hashes), max(len(terms) - 1, 0))
             known = np.flatnonzero(terms[place] == found.hashes) if len(terms) else np.zeros(0, np.int64)
             order = known[np.argsort(place[known], kind="stable")]

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; keeps the arrays near the CPU's cache whatever the size of an Arrow batch.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: The same column in SQL: words of the contracts that split on ASCII white space only.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -62,7 +62,7 @@ ALNUM_LOWER = alphabet({*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x6
 
 def _powers(base: int, n: int, known: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006  a cache
     if base not in known or len(known[base]) < n:
-        p = np.full(max(n, 2 * CHUNK_BYTES), base, np.uint64)
+        p = np.full(max(n, CHUNK_BYTES + 4096), base, np.uint64)
         p[0] = 1
         known[base] = np.cumprod(p, dtype=np.uint64)
     return known[base][:n]
