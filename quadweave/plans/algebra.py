@@ -85,7 +85,8 @@ class VectorSearch:
 
 @dataclass
 class PathSearch:
-    """Bounded paths as solutions: variables for nodes and predicates (joined by blanks) and length."""
+    """Paths of bounded length as solutions, all unless `most` is given: variables for nodes and predicates (joined by blanks) and
+    length."""
 
     start: str
     variables: dict[str, str]

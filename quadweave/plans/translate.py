@@ -374,7 +374,7 @@ class Translator:
                 every = self.bgp([Triple(a, Variable("_sp"), b)], graph)
                 steps = [(every.val("_sp").v, every)]
             edges = [r.df.filter(r.val("_sb").k == "iri").select(r.val("_sa").v.alias("s"), (F.lit(p) if isinstance(p, str) else p).alias("p"), r.val("_sb").v.alias("o")) for p, r in steps]
-            hits, _ = paths.search_paths(reduce(DataFrame.union, edges), e.start, **e.options)
+            hits, _ = paths.search_paths(reduce(DataFrame.union, edges), e.start, **{"most": None} | e.options)
             hits = hits.select(F.array_join("nodes", " ").alias("nodes"), F.array_join("predicates", " ").alias("predicates"), "length")
         else:
             if chunks is None:
@@ -669,7 +669,8 @@ def searches(triples: list[Triple]) -> tuple[list[Triple], list]:
         elif "vector" in what:
             out.append(VectorSearch([float(x) for x in what["vector"].replace(",", " ").split()], names, options))
         else:
-            options["most"] = options.pop("limit", 50)
+            if "limit" in options:
+                options["most"] = options.pop("limit")
             out.append(PathSearch(what["from"], names, via, options))
     return plain, out
 

@@ -136,7 +136,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return over(spark, q).sparql("SELECT ?a ?b WHERE { ?a <urn:next>+ ?b }", {"a": "str", "b": "str"})
 
 
-sparql("path_search_text", "SELECT ?path ?n WHERE { [] <urn:search:from> <urn:t:region/1> ; <urn:search:via> r:n_regionkey , r:s_nationkey ; <urn:search:direction> 'both' ; <urn:search:depth> 2 ; <urn:search:limit> 500 ; <urn:search:nodes> ?path ; <urn:search:length> ?n }", "path:str n:int",
+sparql("path_search_text", "SELECT ?path ?n WHERE { [] <urn:search:from> <urn:t:region/1> ; <urn:search:via> r:n_regionkey , r:s_nationkey ; <urn:search:direction> 'both' ; <urn:search:depth> 2 ; <urn:search:nodes> ?path ; <urn:search:length> ?n }", "path:str n:int",
        """SELECT 'urn:t:region/1 urn:t:nation/' || n_nationkey AS path, 1::BIGINT AS n FROM nation WHERE n_regionkey = 1
   UNION ALL SELECT 'urn:t:region/1 urn:t:nation/' || n_nationkey || ' urn:t:supplier/' || s_suppkey, 2 FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = 1""")
 

@@ -36,6 +36,20 @@ def test_query(name, spark, sf, duck):
     assert sorted(rows, key=repr) == sorted(want, key=repr)
 
 
+def test_path_search_text_over_many_suppliers(spark, sf, tmp_path):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW nation AS SELECT * FROM '{sf}/nation.parquet'")
+    for t in TABLES:
+        if t != "supplier":
+            os.symlink(f"{sf}/{t}.parquet", tmp_path / f"{t}.parquet")
+    many = f"SELECT s.* REPLACE (s_suppkey + 1000 * i AS s_suppkey) FROM '{sf}/supplier.parquet' s, range(600) r(i)"
+    con.sql(f"COPY ({many}) TO '{tmp_path}/supplier.parquet'")
+    con.sql(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet'")
+    ours = [tuple(r) for r in queries.QUERIES["path_search_text"](spark, str(tmp_path)).select("path", "n").collect()]
+    want = con.sql(queries.ORACLES["path_search_text"]).fetchall()
+    assert len(want) > 500 and sorted(ours) == sorted(want)
+
+
 def test_entry_point_imports():
     import __spark_entry__
 

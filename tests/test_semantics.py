@@ -149,6 +149,15 @@ def test_paths(spark):
     assert [r.nodes for r in paths.search_paths(e.dataset.quads, "urn:a", "urn:d")[0].collect()] == [["urn:a", "urn:b", "urn:c", "urn:d"]]
 
 
+def test_path_search_returns_all_paths(spark):
+    e = store(spark, " ".join(f":hub :p :n{i} ." for i in range(600)))
+    q = "SELECT ?n WHERE { [] <urn:search:from> :hub ; <urn:search:depth> 1%s ; <urn:search:nodes> ?n }"
+    assert sorted(rows(e, q % "", {"n": "str"})) == sorted((f"urn:hub urn:n{i}",) for i in range(600))
+    assert [len(rows(e, q % f" ; <urn:search:limit> {n}", {"n": "str"})) for n in (2, 550)] == [2, 550]
+    found, more = paths.search_paths(e.dataset.quads, "urn:hub", most=None)
+    assert found.count() == 600 and not more
+
+
 def test_long_paths(spark, monkeypatch):
     monkeypatch.setattr(paths, "LINEAR", 2)  # later rounds double
     monkeypatch.setattr(paths, "MERGED", 3)
